@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from vellumine.llm.quality_rules import ORACLE_OP9, op9_quality_rules
+from vellumine.llm.simhash_golay import op10_simhash_golay
 
 QUERIES = {
     "op9_quality_rules": op9_quality_rules,
+    "op10_simhash_golay": op10_simhash_golay,
 }
 
 ORACLE_SQL = {
