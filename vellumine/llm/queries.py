@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from vellumine.llm.histogram_sharding import op4_histogram_sharding
 from vellumine.llm.quality_rules import ORACLE_OP9, op9_quality_rules
 from vellumine.llm.simhash_golay import op10_simhash_golay
 
 QUERIES = {
+    "op4_histogram_sharding": op4_histogram_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_golay": op10_simhash_golay,
 }
