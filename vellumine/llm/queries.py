@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from vellumine.llm.histogram_sharding import op4_histogram_sharding
 from vellumine.llm.quality_rules import ORACLE_OP9, op9_quality_rules
+from vellumine.llm.reply_trees import ORACLE_OP8, op8_reply_trees
 from vellumine.llm.simhash_golay import op10_simhash_golay
+from vellumine.llm.warc_chunks import ORACLE_OP3, op3_warc_chunks
 
 QUERIES = {
+    "op3_warc_chunks": op3_warc_chunks,
     "op4_histogram_sharding": op4_histogram_sharding,
+    "op8_reply_trees": op8_reply_trees,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_golay": op10_simhash_golay,
 }
 
 ORACLE_SQL = {
+    "op3_warc_chunks": ORACLE_OP3,
+    "op8_reply_trees": ORACLE_OP8,
     "op9_quality_rules": ORACLE_OP9,
 }
