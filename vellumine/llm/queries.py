@@ -6,9 +6,11 @@ from vellumine.llm.histogram_sharding import op4_histogram_sharding
 from vellumine.llm.quality_rules import ORACLE_OP9, op9_quality_rules
 from vellumine.llm.reply_trees import ORACLE_OP8, op8_reply_trees
 from vellumine.llm.simhash_golay import op10_simhash_golay
+from vellumine.llm.toxicity_segments import op2_toxicity_segments
 from vellumine.llm.warc_chunks import ORACLE_OP3, op3_warc_chunks
 
 QUERIES = {
+    "op2_toxicity_segments": op2_toxicity_segments,
     "op3_warc_chunks": op3_warc_chunks,
     "op4_histogram_sharding": op4_histogram_sharding,
     "op8_reply_trees": op8_reply_trees,
