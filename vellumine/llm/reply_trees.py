@@ -72,18 +72,17 @@ def pointers(nodes: DataFrame, folder: str) -> tuple[list[DataFrame], DataFrame]
         nodes.join(ids, nodes.parent == ids.id, "left")
         .select("node", F.when(F.col("id") != F.col("node"), F.col("id")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
     )
-    tables, k, most = [], 0, nodes.count()
+    tables, done, k, most = [], None, 0, nodes.count()
     while True:
         now = written(now, folder, f"up-{k}")
-        step = now.filter("up IS NOT NULL").select("node", "up")
-        if step.isEmpty() or (1 << k) > most:  # what still has an ancestor after that many steps is on a cycle
-            return tables, now.filter("up IS NULL").select("node", "depth", "total")
-        tables.append(step)
-        above = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        now = now.join(above, "up", "left").select(
-            "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-            (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
-        )
+        ended, going = now.filter("up IS NULL"), now.filter("up IS NOT NULL")
+        done = ended if done is None else done.union(ended)
+        if going.isEmpty() or (1 << k) > most:  # what still has an ancestor after that many steps is on a cycle
+            return tables, done.select("node", "depth", "total")
+        tables.append(going.select("node", "up"))
+        above = done.union(going).select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
+        # only nodes below their root take part in the next round
+        now = going.join(above, "up").select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("t2")).alias("total"))
         k += 1
 
 
