@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vellumine.llm.decontam_qgram import op7_decontam_qgram
 from vellumine.llm.histogram_sharding import op4_histogram_sharding
 from vellumine.llm.quality_rules import ORACLE_OP9, op9_quality_rules
 from vellumine.llm.reply_trees import ORACLE_OP8, op8_reply_trees
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_warc_chunks": op3_warc_chunks,
     "op4_histogram_sharding": op4_histogram_sharding,
     "op5_secret_tests": op5_secret_tests,
+    "op7_decontam_qgram": op7_decontam_qgram,
     "op8_reply_trees": op8_reply_trees,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_golay": op10_simhash_golay,
