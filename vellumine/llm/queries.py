@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from vellumine.llm.decontam_qgram import op7_decontam_qgram
 from vellumine.llm.histogram_sharding import op4_histogram_sharding
+from vellumine.llm.mixing_ipf import ORACLE_OP6, op6_mixing_ipf
 from vellumine.llm.quality_rules import ORACLE_OP9, op9_quality_rules
 from vellumine.llm.reply_trees import ORACLE_OP8, op8_reply_trees
 from vellumine.llm.secret_tests import op5_secret_tests
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_warc_chunks": op3_warc_chunks,
     "op4_histogram_sharding": op4_histogram_sharding,
     "op5_secret_tests": op5_secret_tests,
+    "op6_mixing_ipf": op6_mixing_ipf,
     "op7_decontam_qgram": op7_decontam_qgram,
     "op8_reply_trees": op8_reply_trees,
     "op9_quality_rules": op9_quality_rules,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op6_mixing_ipf": ORACLE_OP6,
     "op3_warc_chunks": ORACLE_OP3,
     "op8_reply_trees": ORACLE_OP8,
     "op9_quality_rules": ORACLE_OP9,
