@@ -21,6 +21,8 @@ Components come from alternating large-star and small-star steps over the links,
 Defined cases: null and empty texts have fingerprint zero, which links like any other; equal texts have equal
 fingerprints and so one component; rows with a null id belong to components but never name one, unless all ids
 in it are null (then its name is null); repeated ids are treated row by row; an empty table gives an empty result.
+``representatives`` keeps one row of each component: the one of the smallest id (null ids come last), among rows with
+that id the one of least hash; all columns are kept and helper columns take names that the input lacks.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -269,21 +271,37 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         before, k = now, k + 1
 
 
-def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
-    """One row per input row: ``doc_id``, ``fp`` (the fingerprint as a long) and ``component_id``."""
+def _classes(df: DataFrame, doc_id: str, text: str, size: int, carry: dict[str, Column]) -> DataFrame:
+    """doc_id, fp, component_id, ``group`` (names the component whatever its ids) and the carried columns, row by row."""
     spark = df.sparkSession
     prepare(spark)
     folder = shared_dir(spark)
-    prints = written(df.select(column(df, doc_id).alias("doc_id"), _fingerprint_udf(size)(column(df, text)).alias("fp")), folder, "prints")
+    narrow = df.select(column(df, doc_id).alias("doc_id"), _fingerprint_udf(size)(column(df, text)).alias("fp"), *[c.alias(k) for k, c in carry.items()])
+    prints = written(narrow, folder, "prints")
     each = written(prints.groupBy("fp").agg(F.min("doc_id").alias("lo")), folder, "each")
     comp = components(links(each.select("fp"), folder), folder)
     named = each.join(comp, each.fp == comp.node).select("fp", "lo", "root")
     least = named.groupBy("root").agg(F.min("lo").alias("c"))
-    linked = named.join(least, "root").select("fp", "c")
-    names = written(
-        each.join(linked, "fp", "left").select("fp", F.coalesce("c", "lo").alias("component_id")), folder, "names"
-    )
-    return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+    linked = named.join(least, "root").select("fp", "root", "c")
+    names = each.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), F.coalesce("c", "lo").alias("component_id"))
+    return prints.join(written(names, folder, "names"), "fp").select("doc_id", "fp", "component_id", "group", *carry)
+
+
+def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
+    """One row per input row: ``doc_id``, ``fp`` (the fingerprint as a long) and ``component_id``."""
+    return _classes(df, doc_id, text, size, {}).select("doc_id", "fp", "component_id")
+
+
+def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
+    """``df`` with one row of each component, and its own columns."""
+    hashed = [column(df, f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
+    own = F.xxhash64(*hashed)
+    keys = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "own")
+    kept = _classes(df, doc_id, text, size, {"own": own}).groupBy("group").agg(F.min(keys).alias("k"))
+    i, h = fresh(df, "kept_id"), fresh(df, "kept_hash")
+    kept = kept.select(F.coalesce("k.doc_id", F.lit(0)).alias(i), F.col("k.own").alias(h))
+    rows = df.withColumn(i, F.coalesce(column(df, doc_id), F.lit(0))).withColumn(h, own)
+    return rows.join(kept, [i, h], "left_semi").dropDuplicates([i, h]).select(*[column(df, c) for c in df.columns])
 
 
 def op10_simhash_golay(spark, sf_dir: str) -> DataFrame:
