@@ -199,9 +199,9 @@ def graph_nodes(spark, sf):
 
 def _seeds(docs: DataFrame) -> DataFrame:
     """The first clause of every document whose id is divisible by 20 is a question's seed."""
-    rows = docs.filter(F.col("document_id").cast("long") % 20 == 0)
+    rows = docs.filter(F.col("document_id").try_cast("long") % 20 == 0)
     blank = F.lit("")
-    return rows.select(F.col("document_id").cast("long").alias("query_id"), F.lit(1).alias("pos"), F.concat("document_id", F.lit(":a1:c1")).alias("unit_id"), "document_id", blank.alias("article_no"), blank.alias("clause_no"))
+    return rows.select(F.col("document_id").try_cast("long").alias("query_id"), F.lit(1).alias("pos"), F.concat("document_id", F.lit(":a1:c1")).alias("unit_id"), "document_id", blank.alias("article_no"), blank.alias("clause_no"))
 
 
 @query(f"""WITH {_LEGAL}, {_UNITS},
@@ -606,5 +606,5 @@ def answers_end_to_end(spark, sf):
 
     folder = shared_folder(spark)
     index = L.build(legal_documents(spark, sf).select("content", *P.DOCUMENT_KEYS), folder=folder).write(f"{folder}/index")
-    rows = L.answer(legal_questions(spark, sf), index)
+    rows = L.answer(legal_questions(spark, sf), index, folder=f"{folder}/answers")
     return rows.select("query_id", "answer", "verification_result.passed", F.size("dq_context_list").alias("n_dq"), F.size("gq_context_list").alias("n_gq"))
