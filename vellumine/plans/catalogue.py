@@ -323,7 +323,7 @@ def knn_l2_topk(spark, sf):
 
 @query(f"WITH {_KNN.format(on='WHERE q.label = v.label')} SELECT query_id, chunk_id AS vec_id, rank AS original_rank, round(score, 6) AS raw_score FROM dense")
 def knn_filtered_by_label(spark, sf):
-    rows = R.dense(vector_questions(spark, sf), vectors(spark, sf), within=lambda pairs: pairs.filter("asked_label = label"))
+    rows = R.dense(vector_questions(spark, sf), vectors(spark, sf), match=("asked_label", "label"))
     return rows.select("query_id", F.col("chunk_id").alias("vec_id"), "original_rank", F.round("raw_score", 6).alias("raw_score"))
 
 
