@@ -239,9 +239,9 @@ def parsed_pages(pages: DataFrame, html: str = "html", legal_only: bool = True)
 def search_results(pages: DataFrame, html: str = "html", base: str = "") -> DataFrame:
     """Documents that listing pages link to, once each, with type and status among the allowed."""
     rows = pages.select(F.explode(arrow(T.ArrayType(RESULT))(lambda html: result_links(html))(F.col(html))).alias("r"))
-    href = F.when(F.col("r.href").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.col("r.href")).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.ltrim(F.lit("/"), F.col("r.href"))))
+    href = F.when(F.col("r.href").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.col("r.href")).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.ltrim(F.col("r.href"), F.lit("/"))))
     title = X.first_of("r.card_title", "r.title", X.infer_title("r.card_text"))
-    rows = rows.select(X.detail_url(href).alias("source_url"), title.alias("title"), F.col("r.card_text").alias("card_text"))
+    rows = rows.select(X.detail_url(href).alias("source_url"), title.alias("title"), F.col("r.card_text").alias("card_text")).distinct()
     rows = rows.withColumn("status", X.infer_status("card_text")).withColumn("document_type", X.infer_type(X.first_of("title", "card_text"))).withColumn("metadata", X.metadata_from_text("card_text"))
     rows = rows.filter("title != '' AND status != '' AND document_type != ''").drop("card_text").dropDuplicates(["source_url"])
     return rows.select(X.id_from_url("source_url").alias("document_id"), "*")

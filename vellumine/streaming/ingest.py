@@ -10,7 +10,7 @@ from vellumine.sources import registry as R
 
 def markdown_stream(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of new ``*.md`` files as they appear."""
-    rows = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("wholetext", True).text(folder)
+    rows = spark.readStream.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
