@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from vellumine.functions import patterns as P
 from vellumine.functions import text as X
-from vellumine.operators.chunking import arrow, normalize_headings
+from vellumine.operators.chunking import arrow, normalize
 from vellumine.operators.grammar import space
 
 # Element and attribute names.
@@ -263,7 +263,26 @@ def blocks_markdown(c: X.Text) -> Column:
     return F.array_join(F.transform(X.col(c), lambda b: F.concat(block_markdown(b), F.lit("\n"))), "\n")
 
 
+def markdown_lines(block: dict) -> list[str]:
+    """The Markdown lines of one block, as ``block_markdown`` writes them."""
+    kind, rows = block["type"], block["rows"] or []
+    if kind == "heading":
+        return ["#" * min(max(block["level"] or 2, 1), 6) + " " + (block["text"] or "")]
+    if kind == "table":
+        width = max(map(len, rows))
+        full = [r + [""] * (width - len(r)) for r in rows]
+        return ["| " + " | ".join(r) + " |" for r in [full[0], ["---"] * width, *full[1:]]]
+    if kind == "list":
+        return [(f"{i}. " if block["ordered"] else "- ") + x for i, x in enumerate(block["items"], 1)]
+    return [(block["text"] or "").strip()]
+
+
+def page_markdown(found: list[dict] | None, url: str | None, kind: str | None, status: str | None, title: str | None) -> str:
+    head = [f"<!-- {n}: {v or ''} -->" for n, v in (("source_url", url), ("document_type", kind), ("status", status))]
+    return normalize("\n".join([*head, f"# {title or ''}", "", *(line for b in found or [] for line in [*markdown_lines(b), ""])]))
+
+
 def document_markdown(blocks_: X.Text, url: X.Text, kind: X.Text, status: X.Text, title: X.Text) -> Column:
     """A document as Markdown: where it comes from, its title and its blocks, with legal headings normalised."""
-    head = [F.concat(F.lit(f"<!-- {n}: "), X.text(v), F.lit(" -->")) for n, v in (("source_url", url), ("document_type", kind), ("status", status))]
-    return normalize_headings(F.concat_ws("\n", *head, F.concat(F.lit("# "), X.text(title)), F.lit(""), blocks_markdown(blocks_)))
+    f = arrow(T.StringType())(lambda found, url, kind, status, title: page_markdown(found, url, kind, status, title))
+    return f(*map(X.col, (blocks_, url, kind, status, title)))
