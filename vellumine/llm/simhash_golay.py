@@ -115,9 +115,8 @@ def _bit_counts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return counts
 
 
-def _block(texts: list[bytes], size: int) -> np.ndarray:
-    """Fingerprints of a block of texts."""
-    out = np.zeros(len(texts), np.uint64)
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in lower-case ASCII with single spaces, padded by 8 bytes; start and end of each word; words by text."""
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
     raw = _LOWER[raw]
@@ -131,14 +130,17 @@ def _block(texts: list[bytes], size: int) -> np.ndarray:
     space = blank[pos]
     data[space] = 32
     stop = np.flatnonzero(space)  # each word ends at a space
-    if not len(stop):
-        return out
-    start = np.empty_like(stop)
-    start[0] = 0
+    start = np.zeros_like(stop)
     start[1:] = stop[:-1] + 1
-    doc = np.searchsorted(ends, pos[start], side="right")
-    data = np.concatenate([data, np.zeros(8, np.uint8)])
-    n_words = np.bincount(doc, minlength=len(texts))
+    doc = np.searchsorted(ends, pos[start], side="right") if len(stop) else stop
+    return np.concatenate([data, np.zeros(8, np.uint8)]), start, stop, np.bincount(doc, minlength=len(texts))
+
+
+def _block(texts: list[bytes], size: int) -> np.ndarray:
+    """Fingerprints of a block of texts."""
+    data, start, stop, n_words = words(texts)
+    if not len(stop):
+        return np.zeros(len(texts), np.uint64)
     first_word = np.concatenate([[0], np.cumsum(n_words)[:-1]])
     n = np.where(n_words >= size, n_words - size + 1, np.minimum(n_words, 1))
     owner = np.repeat(np.arange(len(texts)), n)
@@ -292,18 +294,25 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     return _classes(df, doc_id, text, size, {}).select("doc_id", "fp", "component_id")
 
 
-def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
-    """``df`` with one row of each component, and its own columns."""
-    hashed = [column(df, f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
-    own = F.xxhash64(*hashed)
+def row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*[column(df, f.name) for f in df.schema if "map<" not in f.dataType.simpleString()])
+
+
+def keep_least(df: DataFrame, grouped: DataFrame, doc_id: str) -> DataFrame:
+    """``df`` with one row of each ``group`` of ``grouped``, which has doc_id, ``row_hash`` as own, and group, row by row."""
     keys = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "own")
-    kept = _classes(df, doc_id, text, size, {"own": own}).groupBy("group").agg(F.min(keys).alias("k"))
+    kept = grouped.groupBy("group").agg(F.min(keys).alias("k"))
     i, h = fresh(df, "kept_id"), fresh(df, "kept_hash")
     kept = kept.select(F.coalesce("k.doc_id", F.lit(0)).alias(i), F.col("k.own").alias(h))
-    rows = df.withColumn(i, F.coalesce(column(df, doc_id), F.lit(0))).withColumn(h, own)
+    rows = df.withColumn(i, F.coalesce(column(df, doc_id), F.lit(0))).withColumn(h, row_hash(df))
     return rows.join(kept, [i, h], "left_semi").dropDuplicates([i, h]).select(*[column(df, c) for c in df.columns])
 
 
+def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
+    """``df`` with one row of each component, and its own columns."""
+    return keep_least(df, _classes(df, doc_id, text, size, {"own": row_hash(df)}), doc_id)
+
+
 def op10_simhash_golay(spark, sf_dir: str) -> DataFrame:
     """The component of each of all ``documents``."""
     out = classes(table(spark, sf_dir, "documents"))
