@@ -47,6 +47,20 @@ def test_battery_tells_random_from_text(spark):
         assert got[100 + i] == [("random", at, at + 80)]
 
 
+def test_keys_glued_to_names_and_paths(spark):
+    rng = random.Random(6)
+    prose = " ".join("".join(rng.choices(["th", "er", "on", "an", "re", "he", "in", "ed"], k=rng.randrange(1, 6))) for _ in range(400))
+    key = lambda: "".join(rng.choices(s.ENCODINGS["base62"], k=80))
+    wraps = ["AWS_SECRET_ACCESS_KEY={}", "https://host.example/a?sig={}&x=1", "NAME={}==", "/my_dir/{}", "my_dir-a/{}/other_dir"]
+    keys = [key() for _ in wraps]
+    rows = [(i, f"{prose} {w.format(k)} {prose}", 0) for i, (w, k) in enumerate(zip(wraps, keys, strict=True))]
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r._secrets] for r in s.find(spark.createDataFrame(rows, SCHEMA))[0].collect()}
+    for i, k in enumerate(keys):
+        (kind, a, b), = got[i]
+        at = rows[i][1].index(k)
+        assert kind == "random" and a <= at and at + 80 <= b and b - a <= 88, (i, got[i])
+
+
 def test_battery_p_values_are_level():
     rng = random.Random(9)
     low = sum(s.battery("".join(rng.choices(s.ENCODINGS["base62"], k=100)), "base62")[1] < 0.05 for _ in range(2000))

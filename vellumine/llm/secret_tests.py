@@ -4,7 +4,8 @@ Base spans, per kind leftmost and non-overlapping: ``assign`` (a key word, ``:``
 characters), ``access`` (``AKIA`` and 14 or more characters) and ``hex`` (16 or more lower-case hex digits).
 
 The battery adds spans of kind ``random``. A candidate is a run of 20 or more characters of the base64 alphabets that
-meets no base span. Its encoding is the smallest alphabet that holds it (hex in either case, base32, base 62, base64,
+meets no base span; ``=`` ends a run, and a run that mixes ``+`` or ``/`` with ``-`` or ``_`` gives its longest parts in each
+alphabet (of parts that overlap the one of least p-value is reported). Its encoding is the smallest alphabet that holds it (hex in either case, base32, base 62, base64,
 base64url; digits alone are none). Over that alphabet's values:
 
 * chi-squared test of uniformity, runs test about the middle and lag-1 serial correlation give three p-values of
@@ -40,7 +41,8 @@ from vellumine.llm.common import column, fresh, prepare, table
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so shorter ones needn't be matched to be dropped
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+PARTS = re.compile(r"[A-Za-z0-9+/]{20,}"), re.compile(r"[A-Za-z0-9_-]{20,}")
 KINDS = ("assign", "access", "hex", "random")
 MIN_RANDOM = 0.001
 FDR = 0.01
@@ -113,12 +115,14 @@ def nulls(counts: list[int]) -> dict[str, tuple[float, float, float, float]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str]]:
-    """(start, end, run) of the runs that meet no base span; padding isn't part of a run."""
+    """(start, end, run) of the runs that meet no base span; where no alphabet holds a run, of its longest parts in one."""
     for m in CANDIDATE.finditer(text):
-        run = m[0].rstrip("=")
-        a, b = m.start(), m.start() + len(run)
-        if len(run) >= 20 and not _meets(base, a, b):
-            yield a, b, run
+        parts = {m.span()}
+        if not (_SETS["base64"].issuperset(m[0]) or _SETS["base64url"].issuperset(m[0])):
+            parts = {x.span() for p in PARTS for x in p.finditer(text, *m.span())}
+        for a, b in sorted(parts):
+            if not _meets(base, a, b):
+                yield a, b, text[a:b]
 
 
 def _meets(base: list[tuple[int, int, int]], a: int, b: int) -> bool:
@@ -201,10 +205,13 @@ def spans_of(text: str | None, laws: dict[str, tuple[float, float, float, float]
     text = text or ""
     out = base_spans(text)
     if least < math.inf and CANDIDATE.search(text):
-        for a, b, run in list(candidates(text, out)):
-            p = p_value(run, laws)
-            if p is not None and _bin(p) >= least:
-                out.append((a, 3, b))
+        tested = sorted((p, a, b) for a, b, run in candidates(text, out) if (p := p_value(run, laws)) is not None and _bin(p) >= least)
+        found: list[tuple[int, int]] = []
+        for _, a, b in tested:
+            i = bisect_left(found, (a, b))
+            if (not i or found[i - 1][1] <= a) and (i == len(found) or b <= found[i][0]):
+                found.insert(i, (a, b))
+        out += [(a, 3, b) for a, b in found]
         out.sort()
     return out
 
