@@ -61,9 +61,50 @@ def test_keys_glued_to_names_and_paths(spark):
         assert kind == "random" and a <= at and at + 80 <= b and b - a <= 88, (i, got[i])
 
 
+def test_candidates_equal_brute_force():
+    """Maximal parts of each alphabet in what base spans leave."""
+    rng = random.Random(8)
+    bits = ["a" * 9, "Zz9" * 4, "/", "+", "-", "_", "=", " ", "é", "0123456789abcdef01", "token=" + "b" * 12, "AKIA" + "A1" * 8]
+    for _ in range(300):
+        text = "".join(rng.choices(bits, k=14))
+        base = s.base_spans(text)
+        hidden = {i for a, _, b in base for i in range(a, b)}
+        want = set()
+        for p in (r"[A-Za-z0-9+/]", r"[A-Za-z0-9_-]", r"[A-Za-z0-9]"):
+            ok = [bool(re.match(p, c)) and i not in hidden for i, c in enumerate(text)] + [False]
+            for i in range(len(text)):
+                if ok[i] and (not i or not ok[i - 1]):
+                    j = ok.index(False, i)
+                    want |= {(i, j)} if j - i >= s.LEAST else set()
+        assert {(a, b) for a, b, _ in s.candidates(text, base)} == want
+        assert all(text[a:b] == r for a, b, r in s.candidates(text, base))
+
+
+def test_recall_of_planted_keys(spark):
+    """Keys of the usual lengths and alphabets, planted in real texts; the false ones are counted too."""
+    rng = random.Random(12)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").orderBy("doc_id").collect()]
+    shapes = [("base62", 24), ("base62", 36), ("base64", 40), ("base64url", 43), ("base64", 88), ("base32", 52), ("HEX", 64)]
+    rows, planted = [], {}
+    for i, t in enumerate(texts):
+        if i % 3 == 0:
+            kind, n = shapes[i // 3 % len(shapes)]
+            key = "".join(rng.choices(s.ENCODINGS[kind], k=n))
+            at = t.find(" ", len(t) // 2) + 1
+            t = f"{t[:at]}{key} {t[at:]}"
+            planted[i] = (at, at + n, kind, n)
+        rows.append((i, t, 0))
+    got = {r.doc_id: [(x.start, x.end) for x in r._secrets if x.kind == "random"] for r in s.find(spark.createDataFrame(rows, SCHEMA))[0].collect()}
+    long = {i: x for i, x in planted.items() if x[3] >= 36}
+    hit = lambda i: any(a < planted[i][1] and planted[i][0] < b for a, b in got[i])
+    assert sum(map(hit, long)) >= 0.9 * len(long)
+    false = sum(not (i in planted and a < planted[i][1] and planted[i][0] < b) for i, x in got.items() for a, b in x)
+    assert false <= 0.05 * len(planted)
+
+
 def test_battery_p_values_are_level():
     rng = random.Random(9)
-    low = sum(s.battery("".join(rng.choices(s.ENCODINGS["base62"], k=100)), "base62")[1] < 0.05 for _ in range(2000))
+    low = sum(s.battery("".join(rng.choices(s.ENCODINGS["base62"], k=100)), "base62")[3] < 0.05 for _ in range(2000))
     assert 40 < low < 180
 
 

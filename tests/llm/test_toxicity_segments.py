@@ -1,4 +1,5 @@
 import random
+import sys
 
 from vellumine.llm import toxicity_segments as t
 
@@ -34,6 +35,30 @@ def test_segments_equal_brute_force():
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in brute_segments(scores)]
 
 
+def lines_run(hits, other):
+    n = 0
+
+    def trace(frame, event, _):
+        nonlocal n
+        n += event == "line"
+        return trace if frame.f_code is t.segments.__code__ else None
+
+    sys.settrace(trace)
+    try:
+        t.segments(hits, other)
+    finally:
+        sys.settrace(None)
+    return n
+
+
+def test_scan_is_linear():
+    """Steps, not seconds: isolated hits (each final at once), and hits that merge late."""
+    for n in (10_000, 100_000):
+        assert lines_run([(1000 * i, 1.0) for i in range(n)], -0.1) < 25 * n
+        rng = random.Random(n)
+        assert lines_run([(int(i * 1.3), rng.uniform(0.01, 0.2)) for i in range(n)], -0.4) < 30 * n
+
+
 def corpus(n, seed):
     rng = random.Random(seed)
     words = ["alpha", "beta", "gamma", "delta", "straße", "été", "of", "the"]

@@ -5,9 +5,9 @@ same set are one node. Two sets are linked if they share ``SIMILAR`` of their un
 
 Candidates share one of ``BANDS`` keys of ``ROWS`` minima each. A pair of similarity s is no candidate with probability
 (1 - s^5)^30: 7 in a million at 0.8, less above. In a bucket of at most ``BUCKET`` sets all pairs are counted. In a larger
-one each set first meets ``CENTRES`` of its members; then what isn't yet in the bucket's largest component meets all the
-members of other components. So no pair of a bucket is left out, and the pairs of one large group of copies, which the
-first step connects, grow with its members.
+one its sets meet a few of its members, in rounds: one at first; then what isn't yet in the bucket's largest component meets the
+next ``ROUNDS`` tells; in the end what is still outside meets all the members of other components. So no pair of a bucket is
+left out, and the pairs of one large group of copies, which the first rounds connect, grow with its members.
 
 Defined cases: null and empty texts have the empty set and are copies of each other; ids and rows as in ``simhash_golay``.
 """
@@ -27,7 +27,7 @@ SIZE = 5
 SIMILAR = 0.8
 ROWS, BANDS = 5, 30
 BUCKET = 16
-CENTRES = 8
+ROUNDS = (1, 6)  # centres of a large bucket that its open members meet in each round
 BROADCAST_ROWS = 1 << 21  # as many 64-bit row hashes are sent to all executors; more are joined by an exchange
 _CHUNK = 1 << 12
 _R = np.random.default_rng(42)
@@ -127,26 +127,46 @@ def links(sets: DataFrame, shingles, folder: str) -> DataFrame:
     keys = sets.select("s", "n", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     members = written(keys.join(shared, "key"), folder, "members")
-    few, many = members.filter(F.col("m") <= BUCKET), members.filter(F.col("m") > BUCKET)
+    few, many = members.filter(F.col("m") <= BUCKET), members.filter(F.col("m") > BUCKET).select("key", "s", "n")
     a, b = few.select("key", F.col("s").alias("a"), F.col("n").alias("na")), few.select("key", F.col("s").alias("b"), F.col("n").alias("nb"))
     pairs = a.join(b, (a.key == b.key) & (F.col("a") < F.col("b")) & _close("na", "nb")).select("a", "b")
-    first = [F.min(F.struct(F.xxhash64("s", F.lit(c)).alias("o"), "s", "n")) for c in range(CENTRES)]
-    centres = many.groupBy("key").agg(F.array_distinct(F.array(*first)).alias("centres"))
-    centres = centres.select("key", F.explode("centres").alias("c")).select("key", F.col("c.s").alias("c"), F.col("c.n").alias("nc"))
-    stars = many.join(centres, "key").filter((F.col("s") != F.col("c")) & _close("n", "nc")).select(F.least("s", "c").alias("a"), F.greatest("s", "c").alias("b"))
     owns = written(sets.select("s", "own").join(members.select("s").distinct(), "s", "left_semi").select("own"), folder, "owns")
     candidates = written(shingles(owns), folder, "candidates")
-    found = written(_verified(written(pairs.union(stars).distinct(), folder, "pairs"), candidates), folder, "links-1")
-    comp = components(found, f"{folder}/1").withColumnRenamed("node", "s")
-    named = written(many.join(comp, "s", "left").select("key", "s", "n", F.coalesce("root", "s").alias("root")), folder, "named")
-    sizes = named.groupBy("key", "root").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-    open_ = written(named.join(main, "key"), folder, "open")
-    a = open_.filter("root != main").select("key", F.col("s").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    b = open_.select("key", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    open_, found, met = many, None, 0
+    for k, n in enumerate(ROUNDS):
+        pairs = _stars(open_, many, range(met, met + n)).union(pairs) if k == 0 else _stars(open_, many, range(met, met + n))
+        new = _verified(written(pairs.distinct(), folder, f"pairs-{k}"), candidates)
+        found, met = written(new if found is None else new.union(found).distinct(), folder, f"links-{k}"), met + n
+        named = written(_named(many, components(found, f"{folder}/{k}")), folder, f"named-{k}")
+        open_ = written(named.join(_main(named), "key"), folder, f"open-{k}")
+        members_, open_ = open_, open_.filter("root != main").select("key", "s", "n", "root")
+        if open_.isEmpty():
+            return found
+    a = open_.select("key", F.col("s").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    b = members_.select("key", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     rest = a.join(b, (a.key == b.key) & (F.col("ra") != F.col("rb")) & _close("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(rest.distinct(), folder, "rest")
-    return written(found.union(_verified(rest, candidates)).distinct(), folder, "links-2")
+    return written(found.union(_verified(rest, candidates)).distinct(), folder, "links")
+
+
+def _stars(open_: DataFrame, many: DataFrame, seeds: range) -> DataFrame:
+    """Each open member (key, s, n) with its bucket's centres, the members of least hash under each seed."""
+    first = [F.min(F.struct(F.xxhash64("s", F.lit(c)).alias("o"), "s", "n")) for c in seeds]
+    centres = many.join(open_.select("key").distinct(), "key", "left_semi") if open_ is not many else many
+    centres = centres.groupBy("key").agg(F.array_distinct(F.array(*first)).alias("centres"))
+    centres = centres.select("key", F.explode("centres").alias("c")).select("key", F.col("c.s").alias("c"), F.col("c.n").alias("nc"))
+    return open_.join(centres, "key").filter((F.col("s") != F.col("c")) & _close("n", "nc")).select(F.least("s", "c").alias("a"), F.greatest("s", "c").alias("b"))
+
+
+def _named(many: DataFrame, comp: DataFrame) -> DataFrame:
+    """The members of large buckets with their component."""
+    return many.join(comp.withColumnRenamed("node", "s"), "s", "left").select("key", "s", "n", F.coalesce("root", "s").alias("root"))
+
+
+def _main(named: DataFrame) -> DataFrame:
+    """The largest component of each bucket that has several."""
+    sizes = named.groupBy("key", "root").agg(F.count("*").alias("m"))
+    return sizes.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("key", "main")
 
 
 def grouped(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

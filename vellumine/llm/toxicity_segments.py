@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumine.llm.common import column, fresh, prepare, table
+from vellumine.llm.common import column, fresh, prepare, shared_dir, table, written
 
 FIT_ROWS = 200_000
 MIN_SHARE = 1 / 50_000
@@ -72,9 +72,12 @@ class Model:
 def segments(hits: list[tuple[int, float]], other: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first, last, score) of a text whose tokens score ``other`` except at ``hits``.
 
-    Ruzzo and Tompa's scan; the tokens between two hits are one step, so it is linear in the hits.
+    Ruzzo and Tompa's scan; the tokens between two hits are one step. ``link`` leads from each kept segment to the last
+    one before it of a smaller sum before it. A search follows links and never meets again what it passed, so the scan is
+    linear in the hits.
     """
     kept: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
+    link: list[int] = []
     total, at = 0.0, -1
     for i, s in hits:
         total += other * (i - at - 1)
@@ -82,16 +85,17 @@ def segments(hits: list[tuple[int, float]], other: float) -> list[tuple[int, int
         left, total = total, total + s
         if s <= 0:
             continue
-        new = (i, i, left, total)
+        new, j = (i, i, left, total), len(kept) - 1
         while True:
-            j = len(kept) - 1
             while j >= 0 and kept[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= new[3]:
+                j = link[j]
+            if j < 0 or kept[j][3] >= total:
                 kept.append(new)
+                link.append(j)
                 break
-            new = (kept[j][0], i, kept[j][2], total)
-            del kept[j:]
+            new, before = (kept[j][0], i, kept[j][2], total), link[j]
+            del kept[j:], link[j:]
+            j = before
     return [(a, b, r - x) for a, b, x, r in kept]
 
 
@@ -223,15 +227,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     prepare(docs.sparkSession)
     m = Model()
     docs = docs.select(column(docs, doc_id).alias("id"), column(docs, text).alias("text"))
-    labels = F.broadcast(labels.cache())
+    folder = shared_dir(docs.sparkSession)
+    labels = F.broadcast(written(labels, folder, "labels"))  # at most FIT_ROWS rows
     known = docs.join(labels, "id").select("text", "y")
     sums = known.mapInArrow(_count, "token string, y int, n long").groupBy("token").agg(
         F.coalesce(F.sum(F.when(F.col("y") == 1, F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(F.col("y") == 0, F.col("n"))), F.lit(0)).alias("b")
-    ).cache()
+    )
+    sums = written(sums, folder, "tokens")
     n1, n0 = sums.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     standing = sums.filter((F.col("a") >= max(3, MIN_SHARE * n1)) & (F.col("a") * n0 > 2 * F.col("b") * n1))
     candidates = frozenset(r["token"] for r in standing.select("token").collect())  # at most 1 / MIN_SHARE rows
-    sums.unpersist()
     y1: Counter = Counter()
     y0: Counter = Counter()
     corpus: Counter = Counter()
