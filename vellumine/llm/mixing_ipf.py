@@ -1,24 +1,24 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are counted per cell (source, language, topic). Raking scales the cells' weights so that their sums meet the
-target marginals of one dimension after the other, until all three hold. A cell's weight is its raked share over its
-share of the corpus. A document is sampled with probability min(1, f * weight): f is chosen so that the expected
-tokens are ``KEEP`` of all, and where the product exceeds 1 the whole cell stays. The draw is a hash of the
+target marginals of one dimension after the other, until all three hold (``CLOSE``) or no longer come closer. A cell's weight is its
+raked share over its share of the corpus. A document is sampled with probability min(1, f * weight): f is chosen so that the
+expected tokens are ``KEEP`` of all, and where the product exceeds 1 the whole cell stays. The draw is a hash of the
 document's id, so it is the same whenever and wherever it is made.
 
 Targets are given per dimension as value -> weight, or by temperature: the corpus's shares to the power of
 ``TEMPERATURE``, which lowers the large and raises the small. Values without a target get weight zero.
 
-Topic, unless a column names it, is the form of the text: ``table`` (has a ``|`` between spaces), else ``note`` (under 100
-words), ``article`` (under 1000) or ``long``.
+The topic, unless a column names it, is learned from the corpus's words (``topics``).
 
 Up to ``MAX_CELLS`` cells are raked on the driver and broadcast; more are raked as a table, each sweep written to the
-shared folder, and joined.
+shared folder, and joined. ``cell_weights`` says in ``residual`` how far, relatively, the worst marginal is from its target.
 
-Defined cases: null and empty texts have no tokens (topic ``note``) and a cell without tokens has weight 1; null sources,
-languages and topics are values of their own; null ids draw as one id; repeated rows share their draw; marginals that
-can't all hold (a value of one dimension occurs only with values that have no target) are approached as far as the
-sweeps go; an empty table gives an empty result; ``sample`` keeps all columns and names of new ones never clash.
+Defined cases: null and empty texts have no tokens (topic ``none``) and a cell without tokens has weight 1; null sources,
+languages and topics are values of their own; null ids draw by the hash of the text; repeated rows share their draw;
+marginals that can't all hold (a value of one dimension occurs only with values that have no target) are approached until
+a sweep no longer helps, and the residual tells; an empty table gives an empty result; ``sample`` keeps all columns and
+names of new ones never clash.
 """
 
 from __future__ import annotations
@@ -26,35 +26,41 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from vellumine.llm import topics
 from vellumine.llm.common import column, fresh, prepare, shared_dir, table, written
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPERATURE = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 KEEP = 0.9
-SWEEPS = 25
 CLOSE = 1e-10
+PATIENCE = 20  # sweeps within which the worst marginal must come closer by a hundredth
 MAX_CELLS = 100_000
 NULL = "\x00null"
 
 Targets = Mapping[str, Mapping[str | None, float]]
 
 
-def tokens_of(text: Column) -> Column:
-    """Words of a text: runs of characters other than space and \\t\\n\\v\\f\\r."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+def measured(m: topics.Topics):
+    """A column function: a text's words (runs of characters other than space and \\t\\n\\v\\f\\r) and its topic."""
 
+    def run(texts: pa.Array) -> pa.Array:
+        found = list(topics.bucket_sets(t.as_py() for t in texts))
+        names = [topics.name_of(k) for k in m.assign([s for _, s in found]).tolist()]
+        return pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array(names, pa.string())], names=["n_tokens", "topic"])
 
-def topic_of(text: Column, tokens: Column) -> Column:
-    """The form of a text."""
-    return F.when(F.contains(F.coalesce(text, F.lit("")), F.lit(" | ")), "table").when(tokens < 100, "note").when(tokens < 1000, "article").otherwise("long")
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, T.StructType().add("n_tokens", T.LongType()).add("topic", T.StringType())).asNondeterministic()
 
 
-def draw(doc_id: Column) -> Column:
-    """A number from 0 up to 1 that depends on the id alone."""
-    digits = F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary")), 1, 12)
+def draw(doc_id: Column, text: Column) -> Column:
+    """A number from 0 up to 1 that depends on the id alone, or without one on the text."""
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.sha1(F.coalesce(text, F.lit("")).cast("binary"))))
+    digits = F.substring(F.md5(F.concat(F.lit("mix:"), own).cast("binary")), 1, 12)
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
@@ -68,25 +74,30 @@ def _shares(values: np.ndarray, n: np.ndarray, names: list[str], dimension: str,
     return t / t.sum() if t.sum() else t
 
 
-def rake(cells: list[tuple[str, str, str, int]], targets: Targets | None = None) -> np.ndarray:
-    """The raked weight of each cell (source, lang, topic, tokens), relative to its share of all tokens."""
+def _stalled(off: list[float]) -> bool:
+    """True once all marginals hold, or no longer come closer to it."""
+    return off[-1] < CLOSE or (len(off) > PATIENCE and off[-1] > 0.99 * off[-1 - PATIENCE])
+
+
+def rake(cells: list[tuple[str, str, str, int]], targets: Targets | None = None) -> tuple[np.ndarray, float]:
+    """The raked weight of each cell (source, lang, topic, tokens), relative to its share of all tokens, and the residual."""
     n = np.array([c[3] for c in cells], float)
-    w = n / n.sum() if n.sum() else n
-    dims = []
+    share = n / n.sum() if n.sum() else n
+    w, dims = share, []
     for d, name in enumerate(DIMENSIONS):
         names, values = np.unique(np.array([c[d] for c in cells], object).astype(str), return_inverse=True)
         dims.append((values, _shares(values, n, names.tolist(), name, targets)))
-    for _ in range(SWEEPS):
-        off = 0.0
+
+    def residual() -> float:
+        return max((float((np.abs(np.bincount(v, w, len(t)) - t)[t > 0] / t[t > 0]).max(initial=0.0)) for v, t in dims), default=0.0)
+
+    off: list[float] = [residual()]
+    while w.sum() and not _stalled(off):
         for values, t in dims:
             s = np.bincount(values, w, len(t))
-            factor = np.divide(t, s, out=np.ones_like(t), where=s > 0)
-            off = max(off, float(np.abs(factor[s > 0] - 1).max(initial=0.0)))
-            w = w * factor[values]
-        if off < CLOSE:
-            break
-    share = n / n.sum() if n.sum() else n
-    return np.divide(w, share, out=np.ones_like(w), where=share > 0)
+            w = w * np.divide(t, s, out=np.ones_like(t), where=s > 0)[values]
+        off.append(residual())
+    return np.divide(w, share, out=np.ones_like(w), where=share > 0), off[-1]
 
 
 def level(n: np.ndarray, w: np.ndarray, keep: float) -> float:
@@ -116,14 +127,18 @@ def _rake_table(cells: DataFrame, targets: Targets | None, keep: float, folder:
             t = cells.groupBy(d).agg(F.pow(F.sum("n").cast("double"), TEMPERATURE[d]).alias("t"))
         whole = t.agg(F.sum("t")).first()[0] or 1.0
         goals[d] = written(t.withColumn("t", F.col("t") / whole), folder, f"target-{d}")
-    for k in range(SWEEPS):
+    def residual() -> float:
+        miss = [cells.groupBy(d).agg(F.sum("w").alias("s")).join(goals[d].filter("t > 0"), d).agg(F.max(F.abs(F.col("s") / F.col("t") - 1))).first()[0] for d in DIMENSIONS]
+        return max(x or 0.0 for x in miss)
+
+    off, k = [residual()], 0
+    while not _stalled(off):
         for d in DIMENSIONS:
             f = cells.groupBy(d).agg(F.sum("w").alias("s")).join(goals[d], d).select(d, F.when(F.col("s") > 0, F.col("t") / F.col("s")).otherwise(1.0).alias("f"))
             cells = cells.join(f, d).withColumn("w", F.col("w") * F.col("f")).drop("f")
         cells = written(cells, folder, f"sweep-{k}")
-        off = [cells.groupBy(d).agg(F.sum("w").alias("s")).join(goals[d], d).agg(F.max(F.when(F.col("s") > 0, F.abs(F.col("t") / F.col("s") - 1)))).first()[0] or 0.0 for d in DIMENSIONS]
-        if max(off) < CLOSE:
-            break
+        off.append(residual())
+        k += 1
     cells = cells.withColumn("weight", F.when(F.col("n") > 0, F.col("w") * total / F.col("n")).otherwise(1.0)).drop("w")
     f = 0.0
     while True:  # each round more cells are known to stay whole
@@ -132,12 +147,12 @@ def _rake_table(cells: DataFrame, targets: Targets | None, keep: float, folder:
         ).first()
         new = max((keep * total - (whole or 0)) / rest, 0.0) if rest else f
         if new <= f * (1 + 1e-12):
-            return cells.withColumn("f", F.lit(f))
+            return cells.withColumn("f", F.lit(f)).withColumn("residual", F.lit(off[-1]))
         f = new
 
 
 def cell_weights(rows: DataFrame, targets: Targets | None = None, keep: float = KEEP, max_cells: int | None = None) -> DataFrame:
-    """(source, lang, topic, weight, p) of all cells of ``rows`` (source, lang, topic, n_tokens); nulls are ``NULL``.
+    """(source, lang, topic, weight, p, residual) of all cells of ``rows`` (source, lang, topic, n_tokens); nulls are ``NULL``.
 
     A table of at most ``MAX_CELLS`` rows is marked for broadcast.
     """
@@ -147,12 +162,22 @@ def cell_weights(rows: DataFrame, targets: Targets | None = None, keep: float =
     cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n")), folder, "cells")
     p = F.least(F.lit(1.0), F.col("f") * F.col("weight")).alias("p")
     if cells.count() > bound:
-        return _rake_table(cells, targets, keep, folder).select(*DIMENSIONS, "weight", p)
+        return _rake_table(cells, targets, keep, folder).select(*DIMENSIONS, "weight", p, "residual")
     own = sorted((r["source"], r["lang"], r["topic"], r["n"]) for r in cells.collect())  # at most MAX_CELLS rows
-    w = rake(own, targets)
+    w, residual = rake(own, targets)
     f = float(level(np.array([c[3] for c in own]), w, keep))
-    out = spark.createDataFrame([(*c[:3], float(x), f) for c, x in zip(own, w, strict=True)], "source string, lang string, topic string, weight double, f double")
-    return F.broadcast(written(out.select(*DIMENSIONS, "weight", p), folder, "weights"))
+    out = spark.createDataFrame([(*c[:3], float(x), f, residual) for c, x in zip(own, w, strict=True)], "source string, lang string, topic string, weight double, f double, residual double")
+    return F.broadcast(written(out.select(*DIMENSIONS, "weight", p, "residual"), folder, "weights"))
+
+
+def _known(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(NULL))
+
+
+def mixed(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """``rows`` (source, lang, topic, n_tokens, u, ...) with their cell's weight, probability and draw in the struct ``mix``."""
+    mix = F.struct(F.when(F.col("topic") != NULL, F.col("topic")).alias("topic"), "n_tokens", "weight", F.col("p").alias("probability"), (F.col("u") < F.col("p")).alias("selected"))
+    return rows.join(weights, list(DIMENSIONS), "left").withColumn("mix", mix)
 
 
 def weighted(
@@ -160,19 +185,17 @@ def weighted(
 ) -> tuple[DataFrame, str]:
     """``docs`` with a struct (topic, n_tokens, weight, probability, selected); returns that column's name too."""
     prepare(docs.sparkSession)
-    known = lambda c: F.coalesce(c.cast("string"), F.lit(NULL))
-    n = tokens_of(column(docs, text))
-    what = column(docs, topic) if topic else topic_of(column(docs, text), n)
-    narrow = docs.select(known(column(docs, source)).alias("source"), known(column(docs, lang)).alias("lang"), n.alias("n_tokens"), known(what).alias("topic"))
-    weights = cell_weights(narrow, targets, keep)
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.select(F.struct(*[column(docs, c).alias(x) for c, x in zip(docs.columns, names, strict=True)]).alias("row"), *[known(column(docs, c)).alias(x) for c, x in ((source, "source"), (lang, "lang"))], draw(column(docs, doc_id)).alias("u"), n.alias("n_tokens"), known(what).alias("topic"))
-    out = rows.join(weights, list(DIMENSIONS), "left")
-    mix = F.struct(
-        F.when(F.col("topic") != NULL, F.col("topic")).alias("topic"), "n_tokens", F.col("weight").alias("weight"), F.col("p").alias("probability"), (F.col("u") < F.col("p")).alias("selected"),
+    measure = measured(topics.of_sample([]) if topic else topics.fit(docs.select(column(docs, text).alias("text"))))
+    row = F.struct(*[column(docs, c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = docs.select(
+        row.alias("row"), _known(column(docs, source)).alias("source"), _known(column(docs, lang)).alias("lang"),
+        draw(column(docs, doc_id), column(docs, text)).alias("u"), measure(column(docs, text)).alias("m"),
     )
+    what = _known(F.col(f"row.c{docs.columns.index(topic)}")) if topic else F.col("m.topic")
+    rows = rows.withColumn("topic", what).withColumn("n_tokens", F.col("m.n_tokens"))
+    out = mixed(rows, cell_weights(rows.select(*DIMENSIONS, "n_tokens"), targets, keep))
     name = fresh(docs, "mix")
-    return out.select(*[F.col(f"row.{x}").alias(c) for c, x in zip(docs.columns, names, strict=True)], mix.alias(name)), name
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("mix").alias(name)), name
 
 
 def sample(docs: DataFrame, targets: Targets | None = None, keep: float = KEEP) -> DataFrame:
@@ -182,37 +205,12 @@ def sample(docs: DataFrame, targets: Targets | None = None, keep: float = KEEP)
 
 
 def op6_mixing_ipf(spark, sf_dir: str) -> DataFrame:
-    """The calibrated weight and draw of each of all ``documents``."""
-    out, m = weighted(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", "lang", F.col(f"{m}.topic"), F.col(f"{m}.n_tokens"), F.round(f"{m}.weight", 6).alias("weight"), F.round(f"{m}.probability", 6).alias("probability"), F.col(f"{m}.selected"))
-
-
-def _oracle() -> str:
-    sql = r"""
-WITH d AS (
-  SELECT doc_id, source, lang, coalesce(text, '') AS text,
-    CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens,
-    ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM documents),
-t AS (SELECT *, CASE WHEN contains(text, ' | ') THEN 'table' WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 1000 THEN 'article' ELSE 'long' END AS topic FROM d),
-c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS n FROM t GROUP BY ALL),
-g AS (SELECT *, sum(n) OVER () AS total, sum(n) OVER (PARTITION BY source) AS n_source, sum(n) OVER (PARTITION BY lang) AS n_lang, sum(n) OVER (PARTITION BY topic) AS n_topic FROM c),
-"""
-    goal = ", ".join(f"pow(n_{d}, {TEMPERATURE[d]}) / (SELECT sum(x) FROM (SELECT pow(sum(n), {TEMPERATURE[d]}) AS x FROM c GROUP BY {d})) AS t_{d}" for d in DIMENSIONS)
-    sql += f"r0 AS MATERIALIZED (SELECT source, lang, topic, n, total, {goal}, n / total AS w FROM g),\n"
-    k = 0
-    for _ in range(SWEEPS):
-        for d in DIMENSIONS:
-            sql += f"r{k + 1} AS MATERIALIZED (SELECT source, lang, topic, n, total, t_source, t_lang, t_topic, w * t_{d} / sum(w) OVER (PARTITION BY {d}) AS w FROM r{k}),\n"
-            k += 1
-    return sql + f"""
-w AS (SELECT source, lang, topic, n, total, CASE WHEN n > 0 THEN w * total / n ELSE 1 END AS weight FROM r{k}),
-o AS (SELECT *, coalesce(sum(n) OVER before, 0) AS whole, sum(n * weight) OVER () - coalesce(sum(n * weight) OVER before, 0) AS rest FROM w
-      WINDOW before AS (ORDER BY weight DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT max(({KEEP} * total - whole) / rest) FILTER (WHERE ({KEEP} * total - whole) / rest * weight <= 1 + 1e-12) AS f FROM o)
-SELECT t.doc_id, t.source, t.lang, t.topic, t.n_tokens, round(weight, 6) AS weight, round(least(1.0, f * weight), 6) AS probability,
-  u < least(1.0, f * weight) AS selected
-FROM t JOIN w ON t.source = w.source AND t.lang = w.lang AND t.topic = w.topic, f
-"""
-
-
-ORACLE_OP6 = _oracle()
+    """The calibrated weight and draw of each of all ``documents``; words are counted once, into a narrow table."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    measure = measured(topics.fit(docs.select("text")))
+    rows = docs.select("doc_id", _known(docs.source).alias("source"), _known(docs.lang).alias("lang"), draw(docs.doc_id, docs.text).alias("u"), measure("text").alias("m"))
+    rows = written(rows.select("doc_id", "source", "lang", "u", "m.topic", "m.n_tokens"), shared_dir(spark), "rows")
+    out = mixed(rows, cell_weights(rows))
+    plain = lambda c: F.when(F.col(c) != NULL, F.col(c)).alias(c)
+    return out.select("doc_id", plain("source"), plain("lang"), "mix.topic", "mix.n_tokens", F.round("mix.weight", 6).alias("weight"), F.round("mix.probability", 6).alias("probability"), "mix.selected")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from vellumine.llm.decontam_qgram import op7_decontam_qgram
 from vellumine.llm.histogram_sharding import op4_histogram_sharding
-from vellumine.llm.mixing_ipf import ORACLE_OP6, op6_mixing_ipf
+from vellumine.llm.mixing_ipf import op6_mixing_ipf
 from vellumine.llm.pii_surrogates import op1_pii_surrogates
 from vellumine.llm.quality_rules import ORACLE_OP9, op9_quality_rules
 from vellumine.llm.reply_trees import ORACLE_OP8, op8_reply_trees
@@ -27,7 +27,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op6_mixing_ipf": ORACLE_OP6,
     "op3_warc_chunks": ORACLE_OP3,
     "op8_reply_trees": ORACLE_OP8,
     "op9_quality_rules": ORACLE_OP9,
