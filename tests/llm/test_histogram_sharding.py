@@ -32,10 +32,36 @@ def test_sizes_are_near_equal_with_a_hot_text(spark):
 def test_few_rows_repeats_and_empty(spark):
     assert h.shards(frame(spark, []), 4).collect() == []
     got = h.shards(frame(spark, [(1, "a")] * 5), 4).collect()
-    check_law([(17, r._shard, r._slot) for r in got], 4, 100)
+    check_law([(17, r._shard, r._slot) for r in got], 4, 2 * 17)
     assert len(h.shards(frame(spark, [(1, None)]), 1).collect()) == 1
 
 
+def test_repeated_rows_spread(spark):
+    """Equal rows, and rows without an id, meet the law like others."""
+    rows = [(1, "again " * 5)] * 1000 + [(None, "nobody's")] * 500 + [(10 + i, f"own {i}") for i in range(1000)]
+    got = h.shards(frame(spark, rows), 8).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted((d or 0, t) for d, t in rows)
+    check_law([(16 + len(r.text), r._shard, r._slot) for r in got], 8, 2 * 46)
+
+
+def test_no_leaf_is_large(spark, tmp_path):
+    """2 % of the rows share a text: no leaf has more than a few of the LEAVES-ths."""
+    rows = [(i, "a frequent text") for i in range(2000)] + [(10_000 + i, f"t{i}") for i in range(98_000)]
+    df = frame(spark, rows)
+    hi, mix = h._keys(df.doc_id, df.text)
+    keys = df.select(hi.alias("hi"), mix.alias("mix"), h.size_of(df.text).alias("size"))
+    bits, cuts, parts = h.plan(keys, str(tmp_path))
+    dealt = h.deal(keys.withColumn("bin", h._above("hi", bits)), cuts, parts)
+    sizes = [r["b"] for r in dealt.groupBy("shard", "bin", "part").agg({"size": "sum"}).withColumnRenamed("sum(size)", "b").collect()]
+    assert max(sizes) <= 4 * sum(sizes) / h.LEAVES and len(sizes) >= h.LEAVES
+
+
+def test_very_long_text(spark):
+    rows = [(0, "long " * 400_000)] + [(i, f"t{i}") for i in range(1, 200)]
+    got = h.shards(frame(spark, rows), 4).collect()
+    assert len(got) == 200 and {r.doc_id for r in got} == set(range(200))
+
+
 def test_equal_texts_stand_together(spark):
     rows = [(i, f"t{i % 50}") for i in range(500)]
     got = h.shards(frame(spark, rows), 5).collect()

@@ -1,23 +1,24 @@
 """Shards of near equal size by histogram sort, with DataFrame operations only.
 
 Rows are ordered by the key (bin, mix): ``bin`` is the leading bits of a hash of the text, so equal texts stand
-together; ``mix`` is a hash of the id and the text, which splits a bin that many copies of one text fill. The 39
+together; ``mix`` is a hash of the id and the text, which splits a bin that many copies of one text fill. Where rows
+repeat (equal id and text), ``mix`` also takes in a row number of the written table, so no two rows share a key. The 39
 splitters between 40 shards are found by counting, never by sampling:
 
 1. Count the exact bytes and rows of every bin, across all partitions.
 2. Each splitter's target (k / 40 of all bytes) falls into one bin. While a splitter isn't within the tolerance of
    its target, probe the bin it falls into: count the bytes below each of 4096 finer boundaries of ``mix``, and
    keep the finer interval the target falls into. Five rounds exhaust the 64 bits of ``mix``.
-3. Deal each row to its shard and exchange once, by (shard, leaf); a leaf is a bin, or for a bin with many rows one
-   of 4096 parts of it, so no task gets a shard or a hot text as a whole. A row's slot is its rank in its leaf plus
-   the exact number of rows in the shard's earlier leaves.
+3. Deal each row to its shard and exchange once, by (shard, leaf). A bin is cut by ``mix`` into as many leaves as its bytes
+   ask for: a leaf has about ``LEAF_BYTES`` at most, and no more than a few ``LEAVES``-ths of all, so no task gets a shard or a
+   frequent text as a whole. A row's slot is its rank in its leaf plus the exact number of rows in the shard's earlier leaves.
 
-What the driver and broadcasts hold is bounded by the number of bins and of leaves (2 ** ``MAX_BITS``, and at most
-4096 * ``HOT_BINS`` leaves more), whatever the number of rows.
+What the driver and broadcasts hold is bounded by the number of bins (2 ** ``MAX_BITS``), whatever the number of rows; the
+table of leaves grows with the bytes over ``LEAF_BYTES`` and is joined.
 
-Defined cases: a null text counts as empty (size 16); a null id is hashed like a value of its own; repeated rows
-(equal id and text) share a key, so no splitter falls between them, and their order among themselves doesn't show;
-an empty table gives an empty result; columns of any name are kept by ``shards`` and never clash.
+Defined cases: a null text counts as empty (size 16); a null id is hashed like a value of its own; repeated rows are told
+apart by their number, so they spread over shards like others; an empty table gives an empty result; columns of any
+name are kept by ``shards`` and never clash.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ ROW_BYTES = 16
 TOLERANCE = 1e-4  # of a shard's bytes; a splitter can't come closer than the size of a row allows
 MIN_BITS, MAX_BITS = 10, 18  # of a bin's number
 BIN_BYTES = 256 << 20
-HOT_BINS = 64  # bins with over 1 / HOT_BINS of all rows are dealt out in 4096 parts
-PART_BITS = 12
+PART_BITS = 12  # of a round of probes
+LEAF_BYTES = 256 << 20
+LEAVES = 4096  # small tables are cut into about as many leaves
 LAW = "bytes"
 
 
@@ -53,13 +55,17 @@ def _above(mix: str, bits: int) -> Column:
     return F.shiftrightunsigned(F.col(mix), 64 - bits)
 
 
-def splitters(keys: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> tuple[list[tuple[int, int]], dict[int, tuple[int, int]]]:
-    """The splitters as (bin, mix prefix below which a row lies left of it, as a number of 64 bits), and bytes and rows by bin.
+def _count() -> list[Column]:
+    return [F.sum("size").cast("long").alias("b"), F.count("*").alias("n")]
 
-    ``keys`` has the columns bin, mix and size.
+
+def splitters(keys: DataFrame, filled: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
+    """The splitters as (bin, mix prefix below which a row lies left of it, as a number of 64 bits).
+
+    ``keys`` has the columns bin, mix and size; ``filled`` the bytes and rows (b, n) of each bin.
     """
-    count = [F.sum("size").cast("long").alias("b"), F.count("*").alias("n")]
-    bins = {r["bin"]: (r["b"], r["n"]) for r in keys.groupBy("bin").agg(*count).collect()}  # at most 2 ** MAX_BITS rows
+    count = _count()
+    bins = {r["bin"]: (r["b"], r["n"]) for r in filled.collect()}  # at most 2 ** MAX_BITS rows
     total = sum(b for b, _ in bins.values())
     slack = tolerance * total / n_shards
     order, edge, below = sorted(bins), [], 0
@@ -111,7 +117,7 @@ def splitters(keys: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> t
                 continue
             del open_[k]
     cuts = [found[k] for k in range(1, n_shards)]
-    return [max(cuts[: i + 1]) for i in range(len(cuts))], bins
+    return [max(cuts[: i + 1]) for i in range(len(cuts))]
 
 
 def _literal(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
@@ -124,17 +130,17 @@ def _signed(x: int) -> int:
     return min(x, (1 << 64) - 1) - (1 << 63)
 
 
-def deal(rows: DataFrame, cuts: list[tuple[int, int]], hot: list[int]) -> DataFrame:
+def deal(rows: DataFrame, cuts: list[tuple[int, int]], parts: DataFrame) -> DataFrame:
     """``rows`` (with bin and mix) with their shard, part and place; no exchange."""
     keys = [F.struct(F.lit(b).cast("long").alias("bin"), F.lit(_signed(x)).cast("long").alias("place")) for b, x in cuts]
     place = F.col("mix").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
     left = F.size(F.filter(F.array(*keys), lambda c: c <= F.struct(F.col("bin"), F.col("place")))) if keys else F.lit(0)
-    part = F.when(F.col("bin").isin(hot), _above("mix", PART_BITS)).otherwise(F.lit(0).cast("long"))
-    return rows.withColumn("place", place).withColumn("shard", left.cast("int")).withColumn("part", part)
+    rows = rows.join(F.broadcast(parts), "bin", "left").withColumn("place", place).withColumn("shard", left.cast("int"))
+    return rows.withColumn("part", F.when(F.col("bits") > 0, F.expr("shiftrightunsigned(mix, 64 - bits)")).otherwise(F.lit(0).cast("long")))
 
 
 def leaf_starts(dealt: DataFrame) -> DataFrame:
-    """Rows of a shard before each of its leaves; the number of leaves is bounded (see above)."""
+    """Rows of a shard before each of its leaves."""
     leaves = dealt.groupBy("shard", "bin", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bin", "part").rowsBetween(Window.unboundedPreceding, -1)
     return leaves.select("shard", "bin", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("start"))
@@ -143,51 +149,64 @@ def leaf_starts(dealt: DataFrame) -> DataFrame:
 def slots(dealt: DataFrame, starts: DataFrame) -> DataFrame:
     """``dealt`` with each row's slot, after the one exchange of its rows."""
     rank = F.row_number().over(Window.partitionBy("shard", "bin", "part").orderBy("place"))
-    ranked = dealt.withColumn("rank", rank).join(F.broadcast(starts), ["shard", "bin", "part"])
+    ranked = dealt.withColumn("rank", rank).join(starts, ["shard", "bin", "part"])
     return ranked.withColumn("slot", (F.col("start") + F.col("rank") - 1).cast("long"))
 
 
-def key_table(df: DataFrame, doc_id: str, text: str, carry: dict[str, Column]) -> tuple[DataFrame, int]:
-    """The narrow key table, written to the shared folder (texts are read once for it), and the bits of a bin."""
-    prepare(df.sparkSession)
-    hi, mix = _keys(column(df, doc_id), column(df, text))
-    keys = df.select(hi.alias("hi"), mix.alias("mix"), size_of(column(df, text)).alias("size"), *[c.alias(k) for k, c in carry.items()])
-    keys = written(keys, shared_dir(df.sparkSession), "keys")
-    total = keys.agg(F.sum("size")).first()[0] or 0
-    bits = max(MIN_BITS, min(MAX_BITS, (total // BIN_BYTES).bit_length()))
-    return keys.withColumn("bin", _above("hi", bits)), bits
+def _distinct(keys: DataFrame) -> DataFrame | None:
+    """``keys`` (hi, mix, nr) with a mix that no two rows share; None if it is so already."""
+    if keys.groupBy("hi", "mix").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return None
+    return keys.withColumn("mix", F.xxhash64("mix", "nr"))
 
 
-def plan(keys: DataFrame, n_shards: int = N_SHARDS, tolerance: float = TOLERANCE) -> tuple[list[tuple[int, int]], list[int]]:
-    """Splitters and hot bins of a key table."""
-    cuts, bins = splitters(keys, n_shards, tolerance)
-    rows = sum(n for _, n in bins.values())
-    return cuts, [b for b, (_, n) in bins.items() if n * HOT_BINS > rows and n > HOT_BINS]
+def plan(keys: DataFrame, folder: str, n_shards: int = N_SHARDS, tolerance: float = TOLERANCE) -> tuple[int, list[tuple[int, int]], DataFrame]:
+    """The bits of a bin's number, the splitters, and the bits of ``mix`` that part each bin; for ``keys`` (hi, mix, size)."""
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    bits = max(MIN_BITS, min(MAX_BITS, (total // BIN_BYTES).bit_length()))
+    keys = keys.withColumn("bin", _above("hi", bits))
+    filled = written(keys.groupBy("bin").agg(*_count()), folder, "bins")
+    leaf = max(1, min(LEAF_BYTES, total // LEAVES))
+    parts = filled.select("bin", F.greatest(F.ceil(F.log2(F.col("b") / leaf)), F.lit(0)).cast("int").alias("bits"))
+    return bits, splitters(keys, filled, n_shards, tolerance), parts
 
 
 def shards(df: DataFrame, n_shards: int = N_SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with the columns shard and slot (named otherwise where ``df`` has such), its rows exchanged once.
 
-    A shard's rows in slot order are its file; write with ``partitionBy`` on the shard column.
+    A shard's rows in slot order are its file; write with ``partitionBy`` on the shard column. Where rows repeat, they are
+    first written with their numbers.
     """
-    keys, bits = key_table(df, doc_id, text, {})
-    cuts, hot = plan(keys, n_shards)
-    starts = leaf_starts(deal(keys, cuts, hot))
+    prepare(df.sparkSession)
+    folder = shared_dir(df.sparkSession)
     hi, mix = _keys(column(df, doc_id), column(df, text))
     own = F.struct(*[column(df, c).alias(f"c{i}") for i, c in enumerate(df.columns)])
-    rows = df.select(own.alias("row"), hi.alias("hi"), mix.alias("mix")).withColumn("bin", _above("hi", bits))
-    out = slots(deal(rows, cuts, hot), starts)
+    rows = df.select(own.alias("row"), hi.alias("hi"), mix.alias("mix"), size_of(column(df, text)).alias("size"))
+    numbered = rows.withColumn("nr", F.monotonically_increasing_id())
+    keys = written(numbered.drop("row"), folder, "keys")
+    if _distinct(keys) is not None:
+        rows = _distinct(written(numbered, folder, "rows"))
+        keys = rows.drop("row")
+    bits, cuts, parts = plan(keys, folder, n_shards)
+    at = _above("hi", bits)
+    starts = leaf_starts(deal(keys.withColumn("bin", at), cuts, parts))
+    out = slots(deal(rows.withColumn("bin", at), cuts, parts), starts)
     names = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(df.columns)]
     return out.select(*names, F.col("shard").alias(fresh(df, "shard")), F.col("slot").alias(fresh(df, "slot")))
 
 
 def op4_histogram_sharding(spark, sf_dir: str) -> DataFrame:
-    """The shard and slot of each of all ``documents``, sizes near equal (law ``bytes``)."""
-    docs = table(spark, sf_dir, "documents")
+    """The shard and slot of each of all ``documents``, sizes near equal (law ``bytes``); texts are read once."""
+    prepare(spark)
+    folder, docs = shared_dir(spark), table(spark, sf_dir, "documents")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    keys, _ = key_table(docs, "doc_id", "text", {"doc_id": F.col("doc_id"), "text_crc32": crc})
-    cuts, hot = plan(keys)
-    dealt = deal(keys, cuts, hot)
+    hi, mix = _keys(F.col("doc_id"), F.col("text"))
+    keys = docs.select("doc_id", crc.alias("text_crc32"), hi.alias("hi"), mix.alias("mix"), size_of(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("nr"))
+    keys = written(keys, folder, "keys")
+    own = _distinct(keys)
+    keys = keys if own is None else own
+    bits, cuts, parts = plan(keys, folder)
+    dealt = deal(keys.withColumn("bin", _above("hi", bits)), cuts, parts)
     return slots(dealt, leaf_starts(dealt)).select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
