@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumine.llm.common import column, fresh, prepare
+from vellumine.llm.common import column, fresh, prepare, shared_dir, table, written
 
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower",
@@ -153,15 +153,18 @@ def ablation(book: DataFrame, policy: str = PRODUCTION_POLICY) -> DataFrame:
     )
 
 
-def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """All ``documents`` under the production policy, with the ledger's measurements."""
-    from vellumine.llm.common import table
+def sole_rule(bits: Column, policy: str = PRODUCTION_POLICY) -> Column:
+    """The rule that alone rejects a document, which would stay without it; null where none or several reject it."""
+    own, names = bits.bitwiseAND(F.lit(mask(POLICIES[policy])).cast("long")), list(RULES)
+    return F.coalesce(*[F.when(own == 1 << names.index(r), F.lit(r)) for r in POLICIES[policy]])
 
-    book = ledger(table(spark, sf_dir, "documents"))
-    base = F.col("fail_bits").bitwiseAND(F.lit(mask(BASE_RULES)).cast("long")) != 0
-    return book.select(
-        "doc_id", *MEASURES[:5], base.alias("base_failed"), (~base & ~rejected(F.col("fail_bits"))).alias("kept"), "fail_bits"
-    )
+
+def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """All ``documents`` under the production policy, read from the stored ledger with its measurements."""
+    book = written(ledger(table(spark, sf_dir, "documents")), shared_dir(spark), "ledger")
+    bits = F.col("fail_bits")
+    base = bits.bitwiseAND(F.lit(mask(BASE_RULES)).cast("long")) != 0
+    return book.select("doc_id", *MEASURES[:5], base.alias("base_failed"), (~base & ~rejected(bits)).alias("kept"), "fail_bits", sole_rule(bits).alias("sole_rule"))
 
 
 ORACLE_OP9 = r"""
@@ -190,5 +193,7 @@ b AS (
     + (CASE WHEN 10 * n_upper > 6 * (n_upper + n_lower) THEN 16 ELSE 0 END)
     + (CASE WHEN word_chars > 40 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
-       (fail_bits & 31) = 0 AS kept, fail_bits FROM b
+       (fail_bits & 31) = 0 AS kept, fail_bits,
+       CASE fail_bits & 31 WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbol_heavy' WHEN 8 THEN 'duplicate_lines' WHEN 16 THEN 'shouting' END AS sole_rule
+FROM b
 """
