@@ -1,9 +1,11 @@
 """Surrogates for personal data: keyed, of the same type and format, distinct and consistent.
 
-Detected: e-mail addresses, telephone numbers, card and account numbers (13 to 19 digits), social security numbers, IBANs
-with a valid checksum, IP addresses (v4, and v6 in full form), MAC addresses and names of persons (a known given name or a
-title before a capitalised word; then also each of those words alone in the same text). There is no statistical name
-tagger, so names without such a cue stay.
+Detected: e-mail addresses (whole local parts, of any length and any European script), telephone numbers, card and account
+numbers (13 to 19 digits), social security numbers, IBANs with a valid checksum, IP addresses (v4, and v6 in full and
+compressed form), MAC addresses and names of persons. A name is found by a cue: a known given name or a title before a
+capitalised word, words that stand before a person (``CUES``) before two of them, or a list that a person began ("met Ann Lee and Priya
+Sharma"); then also each of these words alone in the same text. There is no statistical tagger, so names without such a cue
+and names in scripts without capitals stay.
 
 Surrogate: an entity's canonical form (a telephone number's digits, a lower-case address ...) is a number in the domain of
 all forms of the same shape. A keyed permutation of that domain (a Feistel network with cycle walking, conjugated with a
@@ -11,7 +13,8 @@ shift so that nothing maps to itself) gives the surrogate, which is written in t
 
 * type and format hold: digits stay digits, vowels vowels, accents and scripts stay, checksums stay valid (or
   invalid), private addresses private, fictional exchanges (555) and example domains as they are, letter case as it was;
-* gender and script hold: a known given name becomes another of its gender and script;
+* gender and script hold: a known given name becomes another of its gender and script, an unknown one after a title of a
+  gender two names of that gender joined by a hyphen; a frequent family name becomes another of its script;
 * coreference holds: mentions in other formats or documents share the canonical form, hence the surrogate; a person's
   given and family names are mapped each for itself, so parts of a name stay consistent;
 * distinctness holds: a permutation has no collisions.
@@ -19,8 +22,11 @@ shift so that nothing maps to itself) gives the surrogate, which is written in t
 Collision checks: over the table of the corpus's distinct entities, a surrogate that equals somebody's real value is drawn
 anew (a permutation of the next attempt), and so is every surrogate that then equals another; rounds go on until nothing
 collides. Domains under ``SMALL`` and, after ``ROUNDS`` rounds, dense ones can't avoid real values: they keep distinctness
-alone. A shape whose surrogates still collide after ``LAST`` rounds returns to the first attempt, which is free of
-collisions by construction.
+alone. A shape whose surrogates still collide after ``LAST`` rounds returns to the first attempt (joined names: to letter by
+letter permutation), which is free of collisions by construction.
+
+The key comes from the caller or from ``spark.vellumine.pii.key``. Without either a random one is drawn for the driver's
+process, so nobody can turn surrogates back, and another process gives others.
 
 Entities with a later attempt are exceptions. Up to ``MAX_EXCEPTIONS`` of them are broadcast; more are joined to the rows
 that mention them (salted, since a third of all rows may mention one).
@@ -34,41 +40,57 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+import secrets
 from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellumine.llm.common import column, fresh, prepare, shared_dir, table, written
 
-KEY = "change me: the key of this installation"
 SMALL = 10_000
 ROUNDS = 8
 LAST = 24
+PIECE = 200  # characters that are permuted as one number
+LETTERS = -1  # the attempt that permutes letter by letter
 MAX_EXCEPTIONS = 50_000
 SALTS = 16
 
 # Given names by script and gender.
 GIVEN = {
-    ("latin", "f"): "Mary Anna Maria Julia Laura Sarah Emma Linda Susan Karen Lisa Nancy Claire Camille Sophie Marie Isabelle Carmen Lucia Elena Sofia Ursula Heike Sabine Ingrid Petra".split(),
-    ("latin", "m"): "John James Robert Michael William David Thomas Daniel Paul Mark George Peter Pierre Jean Louis Antoine Carlos Miguel Javier Diego Pablo Hans Klaus Stefan Wolfgang Jürgen".split(),
-    ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(),
-    ("cyrillic", "m"): "Иван Сергей Дмитрий Алексей Андрей Николай Владимир Павел".split(),
-    ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Άννα".split(),
-    ("greek", "m"): "Γιώργος Νίκος Δημήτρης Κώστας Γιάννης".split(),
+    ("latin", "f"): """Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Margaret Sandra Ashley Emily Donna Michelle Carol Amanda Melissa
+        Deborah Laura Emma Olivia Anna Maria Julia Claire Camille Sophie Marie Isabelle Carmen Lucia Elena Sofia Ursula Heike Sabine Ingrid Petra Heather Priya Fatima Aisha Mei Yuki""".split(),
+    ("latin", "m"): """James Robert John Michael David William Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Mark Donald Steven Paul Andrew Joshua Kevin Brian
+        George Edward Peter Pierre Jean Louis Antoine Carlos Miguel Javier Diego Pablo José Hans Klaus Stefan Wolfgang Jürgen Mohammed Ahmed Ali Raj Arjun Wei Hiroshi Kenji""".split(),
+    ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Людмила".split(),
+    ("cyrillic", "m"): "Иван Сергей Дмитрий Алексей Андрей Николай Владимир Павел Михаил Александр".split(),
+    ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Άννα Βασιλική".split(),
+    ("greek", "m"): "Γιώργος Νίκος Δημήτρης Κώστας Γιάννης Βασίλης".split(),
+}
+# Frequent family names by script.
+FAMILY = {
+    "latin": """Smith Johnson Williams Brown Jones Miller Davis Garcia Rodriguez Martinez Hernandez Lopez Wilson Anderson Taylor Moore Jackson Martin Lee Thompson White Harris Clark Lewis
+        Walker Hall Young King Wright Scott Green Baker Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Dubois Durand Moreau Laurent Rossi Ferrari Sharma Patel Singh Khan Chen Wang""".split(),
+    "cyrillic": "Иванов Петров Сидоров Смирнов Кузнецов Попов Волков Соколов Иванова Петрова Смирнова Кузнецова".split(),
+    "greek": "Παπαδόπουλος Οικονόμου Γεωργίου Δημητρίου Νικολάου Παππάς".split(),
 }
-# Titles that stand before a name.
-TITLES = frozenset("Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Mlle Señor Señora Sra Doña Госпожа Господин Κύριος Κυρία".split())
+# Titles that stand before a name, by the gender they tell.
+GENDERED = {"f": "Mrs Ms Miss Frau Madame Mme Mlle Señora Sra Doña Госпожа Κυρία".split(), "m": "Mr Herr Monsieur Señor Господин Κύριος".split(), "": "Dr Prof".split()}
+# Words that stand before the name of a person.
+CUES = "my name is,i am,dear,met,told,asked,thanked,married,interviewed,emailed,phoned,attn,signed,yours sincerely,kind regards,best regards".split(",")
 
+TITLES = {t: g for g, titles in GENDERED.items() for t in titles}
 _NAMES = {name.lower(): (f"given:{s}:{g}", i) for (s, g), names in GIVEN.items() for i, name in enumerate(names)}
-_LISTS = {f"given:{s}:{g}": [n.lower() for n in names] for (s, g), names in GIVEN.items()}
+_LISTS = {f"given:{s}:{g}": [n.lower() for n in names] for (s, g), names in GIVEN.items()} | {f"family:{s}": [n.lower() for n in names] for s, names in FAMILY.items()}
+_FAMILIES = {name.lower(): f"family:{s}" for s, names in FAMILY.items() for name in names}
 # Alphabets: a letter is replaced by one of its own.
 _GROUPS = ("0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "áéíóúàèìòùâêîôûäëïöüãõåæøœ", "çñßšžčćłńśźżřďťý", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ")
 _ALPHABET = {c: g for g in _GROUPS for c in g}
 _LETTERS = {c: "abcdefghijklmnopqrstuvwxyz" for c in "abcdefghijklmnopqrstuvwxyz"} | {c: _GROUPS[0] for c in _GROUPS[0]}
+_MAIL = {c: g for c, g in _ALPHABET.items() if c > "z"} | _LETTERS
 _HEX = {c: "0123456789abcdef" for c in "0123456789abcdef"}
 
 _START = re.compile(r"(?<![0-9])[+(]?[0-9]")
@@ -80,11 +102,12 @@ _NUMBER = re.compile(
     |(?P<card>(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}(?P<b>[ -])[0-9]{4}(?P=b)[0-9]{4}(?P=b)[0-9]{1,7}|[0-9]{4}(?P<c>[ -])[0-9]{6}(?P=c)[0-9]{5})(?![\w-]))""",
     re.X,
 )
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]\Z")
-_DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
-_HEXED = re.compile(r"(?<![\w:])(?:(?P<mac>(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2})|(?P<ip6>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}))(?![\w:])")
+_EURO = "\u00c0-\u024f\u0370-\u058f"  # letters of European scripts beyond ASCII
+_NOT_LOCAL = re.compile(rf"[^A-Za-z0-9._%+\-{_EURO}]")
+_DOMAIN = re.compile(rf"(?:[A-Za-z0-9{_EURO}](?:[A-Za-z0-9{_EURO}-]*[A-Za-z0-9{_EURO}])?\.)+[A-Za-z{_EURO}]{{2,}}")
+_HEXED = re.compile(r"(?<![\w:.])(?:(?P<mac>(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2})(?![\w:])|(?P<ip6>(?:[0-9A-Fa-f]{1,4}|(?=::))(?::[0-9A-Fa-f]{0,4}){2,7}(?<!:))(?![\w:]))")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_CAPITALS = "A-ZÀ-ÖØ-ÞА-ЯЁΆ-Ώ"
+_CAPITALS = "A-ZÀ-ÖØ-ÞА-ЯЁΆ-ΏΑ-Ω"
 _WORD = rf"[{_CAPITALS}][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _PERSON = re.compile(rf"(?<![\w@.])({_WORD})\.? ({_WORD})(?: ({_WORD}))?")
 
@@ -116,39 +139,91 @@ def _phone(s: str) -> str:
     return d if len(d) == 10 and s[0] != "+" else ("+" if s[0] == "+" else "") + d
 
 
+_CUE = re.compile(rf"(?<!\w)(?i:{'|'.join(CUES)})[:,]?\s+({_WORD}) ({_WORD})")
+_NEXT = re.compile(rf"(?:,? (?:and|und|et|y|и|και)|,) ({_WORD}) ({_WORD})(?![\w@])")
+
+
+def _script(name: str) -> str:
+    return "greek" if "\u0370" <= name[0] < "\u0400" else "cyrillic" if "\u0400" <= name[0] < "\u0530" else "latin"
+
+
+def _kind(name: str, given: bool, gender: str = "") -> str:
+    """The type of a part of a name."""
+    if name in _NAMES:
+        return _NAMES[name][0]
+    if given and gender:
+        return f"unlisted:{_script(name)}:{gender}"
+    return _FAMILIES.get(name, "family")
+
+
 def _persons(text: str) -> list[Found]:
-    out, parts, at = [], {}, 0
+    out, parts = [], {}
+
+    def add(m: re.Match, g: int, given: bool = False, gender: str = "") -> int:
+        name = m[g].lower()
+        kind = _kind(name, given, gender)
+        out.append((m.start(g), m.end(g), kind, name))
+        parts[m[g]] = parts[m[g].upper()] = (kind, name)
+        return m.end(g)
+
+    def listed(at: int) -> int:
+        """The persons that a list goes on with."""
+        while (m := _NEXT.match(text, at)) and m[1] not in TITLES:
+            add(m, 1)
+            at = add(m, 2)
+        return at
+
+    at = 0
     while m := _PERSON.search(text, at):
-        first, known = m[1], _NAMES.get(m[1].lower())
-        groups = []
+        first, end = m[1], m.end(1)
         if first in TITLES:
             groups = [g for g in (2, 3) if m[g] and m[g] not in TITLES]
-        elif known:
-            groups = [1, 2, 3] if m[3] and m[2].lower() in _NAMES else [1, 2]
-        at = m.end(groups[-1]) if groups else m.end(1)
-        for g in groups:
-            name = m[g].lower()
-            kind = _NAMES[name][0] if name in _NAMES else "family"
-            out.append((m.start(g), m.end(g), kind, name))
-            parts[m[g]] = parts[m[g].upper()] = (kind, name)
+            for g in groups:
+                end = add(m, g, len(groups) == 2 and g == 2, TITLES[first])
+        elif first.lower() in _NAMES:
+            for g in (1, 2, 3) if m[3] and m[2].lower() in _NAMES else (1, 2):
+                end = add(m, g)
+        at = listed(end) if end > m.end(1) else end
+    for m in _CUE.finditer(text):
+        if m[1] not in TITLES:
+            add(m, 1)
+            listed(add(m, 2))
     if parts:
         alone = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, parts), key=lambda x: (-len(x), x))) + r")(?!\w)")
         out += [(m.start(), m.end(), *parts[m[0]]) for m in alone.finditer(text)]
     return out
 
 
+def _ip6(s: str) -> str | None:
+    """The full form of an address in any form; other runs of colons and hex digits, as in times and code, are none."""
+    if "::" in s and (sum(map(bool, s.split(":"))) < 2 or not any(c.isdigit() for c in s)):
+        return None
+    try:
+        return ipaddress.IPv6Address(s).exploded
+    except ValueError:
+        return None
+
+
+def _local_start(text: str, least: int, at: int) -> int:
+    """Where the local part that ends at ``at`` begins; no further back than ``least``."""
+    start = at
+    while start > least and not _NOT_LOCAL.match(text, start - 1):
+        start -= 1
+    while start < at and text[start] in ".%+-_":
+        start += 1
+    return start
+
+
 def find(text: str) -> list[Found]:
     """The entities of a whole text, in order and without overlap (the earliest, then the longest, wins)."""
     out: list[Found] = []
-    at = text.find("@")
+    at, before = text.find("@"), 0
     while at >= 0:
-        left, right = _LOCAL.search(text, max(0, at - 64), at), _DOMAIN.match(text, at + 1)
-        if left and right:
-            start = left.start()
-            while start < at and text[start] in ".%+-_":
-                start += 1
-            out.append((start, right.end(), "email", text[start : right.end()].lower()))
-        at = text.find("@", at + 1)
+        if right := _DOMAIN.match(text, at + 1):
+            start = _local_start(text, before, at)
+            if start < at and text[at - 1] != ".":
+                out.append((start, right.end(), "email", text[start : right.end()].lower()))
+        before, at = at + 1, text.find("@", at + 1)
     at, m = 0, _START.search(text)
     while m:
         n = _NUMBER.match(text, m.start()) or _NUMBER.match(text, m.end() - 1)
@@ -170,7 +245,9 @@ def find(text: str) -> list[Found]:
         m = _START.search(text, at)
     if ":" in text:
         for n in _HEXED.finditer(text):
-            out.append((n.start(), n.end(), n.lastgroup, n[0].lower() if n.lastgroup == "mac" else ipaddress.ip_address(n[0]).exploded))
+            canon = n[0].lower() if n.lastgroup == "mac" else _ip6(n[0])
+            if canon:
+                out.append((n.start(), n.end(), n.lastgroup, canon))
     for n in _IBAN.finditer(text):
         s = n[0].replace(" ", "")
         if 15 <= len(s) <= 34 and _mod97(s) == 1:
@@ -221,7 +298,10 @@ def _cipher(key: str, label: str, n: int) -> Cipher:
 
 
 def _permuted(s: str, alphabets: dict[str, str], key: str, label: str, fixed: range | tuple = ()) -> tuple[str, int]:
-    """``s`` with each character moved within its alphabet, and the size of the domain."""
+    """``s`` with each character moved within its alphabet, and the size of the domain; long forms piece by piece."""
+    if len(s) > PIECE:
+        parts = [_permuted(s[i : i + PIECE], alphabets, key, f"{label}:{i}") for i in range(0, len(s), PIECE)]
+        return "".join(p for p, _ in parts), max(n for _, n in parts)
     places = [(i, alphabets[c]) for i, c in enumerate(s) if c in alphabets and i not in fixed]
     n, x = 1, 0
     for i, a in places:
@@ -244,10 +324,10 @@ def _reserved(domain: str) -> bool:
 
 def _ip_kind(s: str) -> str:
     a = ipaddress.ip_address(s)
-    return next((str(n) for n in _PRIVATE if a.version == n.version and a in n), "public")
+    return next((str(n) for n in _PRIVATE if a in n), "public")
 
 
-_PRIVATE = [ipaddress.ip_network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "fc00::/7", "fe80::/10")]
+_PRIVATE = [ipaddress.ip_network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16")]
 
 
 @lru_cache(1 << 16)
@@ -257,14 +337,19 @@ def surrogate(kind: str, canon: str, attempt: int, key: str) -> tuple[str, int]:
     if kind in _LISTS:
         names = _LISTS[kind]
         return names[_cipher(key, label, len(names)).moved(names.index(canon))], len(names)
-    if kind == "family":
+    if kind == "family" or attempt == LETTERS:
         return _permuted(canon, _ALPHABET, key, label)
+    if kind.startswith("unlisted:"):
+        names = _LISTS[kind.replace("unlisted", "given")]
+        n = len(names) * (len(names) - 1)
+        i, j = divmod(int.from_bytes(hashlib.blake2b(f"{label}\0{canon}".encode(), key=hashlib.sha256(key.encode()).digest()).digest(), "big") % n, len(names) - 1)
+        return f"{names[i]}-{names[j + (j >= i)]}", n
     if kind == "email":
         local, domain = canon.rsplit("@", 1)
-        new, n = _permuted(local, _LETTERS, key, f"{label}@{domain}")
+        new, n = _permuted(local, _MAIL, key, f"{label}@{domain}")
         if not _reserved(domain):
             name, _, top = domain.rpartition(".")
-            moved, k = _permuted(name, _LETTERS, key, "domain")  # alike in all attempts: one domain, one surrogate
+            moved, k = _permuted(name, _MAIL, key, "domain")  # alike in all attempts: one domain, one surrogate
             domain, n = f"{moved}.{top}", n * k
         return f"{new}@{domain}", n
     if kind == "phone":
@@ -278,16 +363,28 @@ def surrogate(kind: str, canon: str, attempt: int, key: str) -> tuple[str, int]:
         alphabets = _LETTERS | {c.upper(): a.upper() for c, a in _LETTERS.items() if c.isalpha()}
         body, n = _permuted(canon[4:], alphabets, key, f"{label}:{canon[:2]}")
         return f"{canon[:2]}{98 - _mod97(canon[:2] + '00' + body):02d}{body}", n
-    if kind in ("ip", "ip6"):
-        a, known = ipaddress.ip_address(canon), _ip_kind(canon)
-        net = ipaddress.ip_network(known) if known != "public" else ipaddress.ip_network("0.0.0.0/0" if a.version == 4 else "::/0")
+    if kind == "ip6":  # the first group (which tells private from public), groups of zeros and the prefix of examples stay
+        groups = canon.split(":")
+        places = [i for i, g in enumerate(groups) if i and g != "0000" and (i, groups[0], g) != (1, "2001", "0db8")]
+        n, x = 0xFFFF ** len(places), 0
+        for i in places:
+            x = x * 0xFFFF + int(groups[i], 16) - 1
+        shape = ":".join("x" if i in places else g for i, g in enumerate(groups))
+        x = _cipher(key, f"{label}:{shape}", n).moved(x) if n > 1 else x
+        for i in reversed(places):
+            x, r = divmod(x, 0xFFFF)
+            groups[i] = f"{r + 1:04x}"
+        return ":".join(groups), n
+    if kind == "ip":
+        known = _ip_kind(canon)
+        net = ipaddress.ip_network(known if known != "public" else "0.0.0.0/0")
         n, base = net.num_addresses, int(net.network_address)
-        x = int(a) - base
+        x = int(ipaddress.ip_address(canon)) - base
         while True:
             x = _cipher(key, f"{label}:{known}", n).moved(x)
-            new = ipaddress.ip_address(base + x) if a.version == 4 else ipaddress.IPv6Address(base + x)
-            if known != "public" or _ip_kind(str(new)) == "public":
-                return new.exploded, n
+            new = str(ipaddress.IPv4Address(base + x))
+            if known != "public" or _ip_kind(new) == "public":
+                return new, n
     return _permuted(canon, _HEX if kind == "mac" else _LETTERS, key, label)
 
 
@@ -302,8 +399,13 @@ def render(mention: str, kind: str, new: str) -> str:
     if kind == "iban":
         it = iter(new)
         return "".join(c if c == " " else next(it) for c in mention)
+    if kind == "ip6":
+        full = all(len(g) == 4 for g in mention.split(":"))
+        new = new if full else str(ipaddress.IPv6Address(new)) if "::" in mention else ":".join(f"{int(g, 16):x}" for g in new.split(":"))
     if mention.isupper():
         return new.upper()
+    if kind.startswith("unlisted:"):
+        return new.title()
     if kind == "family" or kind in _LISTS:
         if len(new) == len(mention):  # letter by letter: McDonald, Jean-Paul
             return "".join(a.upper() if b.isupper() else a for a, b in zip(new, mention, strict=True))
@@ -368,7 +470,17 @@ def _rewriter_own(key: str):
     return _arrow(run, RESULT, "texts", "own")
 
 
-def exceptions(distinct: DataFrame, folder: str, key: str = KEY) -> DataFrame:
+@lru_cache(1)
+def _random_key() -> str:
+    return secrets.token_hex(32)
+
+
+def key_of(spark: SparkSession, key: str | None = None) -> str:
+    """The caller's key, the configured one, or a random one of this process."""
+    return key or spark.conf.get("spark.vellumine.pii.key", None) or _random_key()
+
+
+def exceptions(distinct: DataFrame, folder: str, key: str) -> DataFrame:
     """The collision checks over distinct entities (kind, canon): those that need a later attempt, with it."""
     draw, on = _draw(key), ["kind", "canon"]
     # a shape has its own permutation; its surrogates can meet those of the same shape alone
@@ -390,19 +502,20 @@ def exceptions(distinct: DataFrame, folder: str, key: str = KEY) -> DataFrame:
             to = F.when(F.col("hit"), F.lit(k)).otherwise(F.col("attempt"))
             marked = known.drop("d").join(bad.drop("shape").withColumn("hit", F.lit(True)), on, "left")
         else:
-            to = F.when(F.col("hit"), F.lit(0)).otherwise(F.col("attempt"))
+            first = F.when(F.startswith("kind", F.lit("unlisted:")), F.lit(LETTERS)).otherwise(F.lit(0))
+            to = F.when(F.col("hit"), first).otherwise(F.col("attempt"))
             marked = known.drop("d").join(bad.select("kind", "shape").distinct().withColumn("hit", F.lit(True)), ["kind", "shape"], "left")
         known = written(marked.select(*on, "shape", to.alias("attempt")).withColumn("d", draw("kind", "canon", "attempt")), folder, f"drawn-{k}")
         if k > LAST:  # whole shapes are back at their first attempt, free of collisions
             break
-    return known.filter("attempt > 0").select(*on, "attempt")
+    return known.filter("attempt != 0").select(*on, "attempt")
 
 
-def with_surrogates(docs: DataFrame, key: str = KEY, text: str = "text", max_exceptions: int = MAX_EXCEPTIONS) -> tuple[DataFrame, str]:
+def with_surrogates(docs: DataFrame, key: str | None = None, text: str = "text", max_exceptions: int = MAX_EXCEPTIONS) -> tuple[DataFrame, str]:
     """``docs`` with a struct (text, kinds) of the rewritten text and the replaced types; returns that column's name too."""
     spark = docs.sparkSession
     prepare(spark)
-    folder = shared_dir(spark)
+    folder, key = shared_dir(spark), key_of(spark, key)
     found = _arrow(lambda texts: _entities(texts), T.ArrayType(ENTITY), "texts")
     distinct = docs.select(F.explode(found(column(docs, text))).alias("e")).select("e.kind", "e.canon").distinct()
     late = written(exceptions(written(distinct, folder, "entities"), folder, key), folder, "exceptions")
@@ -419,7 +532,7 @@ def with_surrogates(docs: DataFrame, key: str = KEY, text: str = "text", max_exc
     return both.withColumn(name, _rewriter_own(key)(column(both, text), F.col(own))).drop(row, own), name
 
 
-def replaced(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
+def replaced(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
     """``docs`` with all texts rewritten, and no other change."""
     out, s = with_surrogates(docs, key, text)
     return out.select(*[F.col(f"`{s}`.text").alias(c) if c == text else column(out, c) for c in docs.columns])
@@ -431,5 +544,5 @@ def op1_pii_surrogates(spark, sf_dir: str) -> DataFrame:
     n = lambda *kinds: F.size(F.filter(F.col(f"{s}.kinds"), lambda k: k.isin(*kinds))).cast("long")
     return out.select(
         "doc_id", F.col(f"{s}.text").alias("text"), F.size(f"{s}.kinds").cast("long").alias("n_entities"), n("email").alias("n_email"), n("phone").alias("n_phone"), n("ip", "ip6").alias("n_ip"),
-        n("card").alias("n_card"), n("given", "family").alias("n_name"), n("ssn", "iban", "mac").alias("n_other"),
+        n("card").alias("n_card"), n("given", "family", "unlisted").alias("n_name"), n("ssn", "iban", "mac").alias("n_other"),
     )
