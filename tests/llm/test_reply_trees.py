@@ -21,15 +21,15 @@ def test_best_branch_and_ranks(spark):
     got = read_back(out)
     assert got[1] == [("user", "q"), ("assistant", "high"), ("user", "more")]
     assert got[1, 2] == [("user", "q"), ("assistant", "high"), ("user", "less")]
-    assert got[2] == [("user", "orphan")] and 3 not in got
+    assert got[2] == [("user", "orphan")] and 3 not in got and got[4] == [("user", "self")]
 
 
 def test_long_conversation_and_ties(spark):
-    rows = [(7, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(37)] + [(8, 1, "user", "same")] * 2 + [(None, 1, None, None), (9, None, "user", "x"), (9, 3, "system", "")]
+    rows = [(7, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(37)] + [(8, 1, "user", "same")] * 2 + [(9, None, "user", "x"), (9, 3, "system", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = read_back(r.formatted(r.conversations_as_nodes(df)))
     assert got[7] == [(x[2], x[3]) for x in rows[:37]]
-    assert got[8] == [("user", "same")] * 2 and got[None] == [("", "")] and got[9] == [("user", "x"), ("system", "")]
+    assert got[8] == [("user", "same")] * 2 and got[9] == [("user", "x"), ("system", "")]
 
 
 def test_escaping_is_reversible(spark):
@@ -40,6 +40,37 @@ def test_escaping_is_reversible(spark):
     assert all(x.formatted.count("<|im_") == 2 for x in out.collect())
 
 
+def test_rows_without_a_conversation(spark):
+    """Each is a conversation of its own, so that they never meet in one group."""
+    rows = [(None, 1, "user", "a")] * 3 + [(None, None, None, None), (1, 0, "user", "b")]
+    out = r.formatted(r.conversations_as_nodes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    got = out.withColumn("m", r.parse(F.col("formatted"))).collect()
+    assert sorted((str(x.tree), [tuple(m) for m in x.m]) for x in got) == [("1", [("user", "b")]), ("None", [("", "")])] + [("None", [("user", "a")])] * 3
+
+
+def test_mask_covers_the_learned_texts(spark):
+    texts = ["q", "a <|im_end|> é", "", "two\nlines", "日本"]
+    rows = [(i, t, ["user", "assistant", "assis%tant"][(i + t) % 3], x, "clash", 9) for i in range(4) for t, x in enumerate(texts[: i + 2])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, node int")
+    nodes = r.conversations_as_nodes(df)
+    for x in r.formatted(nodes).collect():
+        own = [y for y in rows if y[0] == x.tree]
+        learned = [(k, y[3]) for k, y in enumerate(own, 1) if y[2] == "assistant"]
+        assert [(s.message, x.formatted[s.start : s.end].replace("<\\|im_", "<|im_")) for s in x.loss_mask] == learned
+        assert all(x.formatted[s.end :].startswith("<|im_end|>\n") and x.formatted[: s.start].endswith("<|im_start|>assistant\n") for s in x.loss_mask)
+
+
+def test_extra_columns_of_a_tree(spark):
+    nodes = [(1, "a", None, "user", "q", 1.0, "x", 5), (1, "b", "a", "assistant", "w", 1.0, "x", 5)]
+    out = r.formatted(spark.createDataFrame(nodes, NODES + ", up string, depth int"))
+    assert read_back(out) == {1: [("user", "q"), ("assistant", "w")]}
+
+
+def test_nothing_runs_in_python(spark):
+    plan = r.op8_reply_trees(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_empty(spark):
     assert r.formatted(r.conversations_as_nodes(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).collect() == []
 

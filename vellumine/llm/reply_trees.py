@@ -10,15 +10,17 @@ once. Texts are joined to the chosen (path, node) rows last, and each path is fo
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` per message. Inside texts and roles every ``<|im_`` (with any number
 of backslashes after ``<``) gets one more backslash after ``<``, so markers in the output are only the template's;
 ``parse`` takes that backslash away again. A role's ``%`` and line feeds become ``%25`` and ``%0A``.
-The loss mask covers the texts of the assistant's messages.
+The loss mask is stored beside each conversation: for every text of the assistant its message's number and the code points
+(start, end) of the escaped text in the formatted one.
 
 A formatted conversation is one value, so a single conversation must fit into a row (2 GB); no other group is
-gathered into one task.
+gathered into one task. A message with very many replies is a hot key of the pointer joins; adaptive skew joins split
+the side that repeats it, the other has one row a message.
 
 Defined cases: null texts and roles count as empty; a message whose parent is missing, or is itself, starts a tree
 path of its own; messages on a parent cycle belong to no root-to-leaf path; repeated rows are messages of their own,
-in the given turn order (ties: role, then text); rows with a null conversation id form one conversation with a null
-id; an empty table gives an empty result; other columns are ignored.
+in the given turn order (ties: role, then text); every row with a null conversation id is a conversation of its own, and
+every root-to-leaf path of a null tree ranks first; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -92,8 +94,9 @@ def paths(nodes: DataFrame, folder: str, per_tree: int = 1) -> DataFrame:
     ``nodes``: tree, node (distinct), parent (null: a root), score (double).
     """
     tables, reached = pointers(nodes, folder)
-    leaves = nodes.select("tree", "node").join(nodes.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
-    rank = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node")
+    replied = nodes.filter("parent != node").select(F.col("parent").alias("node")).distinct()
+    leaves = nodes.select("tree", "node").join(replied, "node", "left_anti")
+    rank = Window.partitionBy("tree", F.when(F.col("tree").isNull(), F.col("node"))).orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node")
     best = leaves.join(reached, "node").withColumn("path_rank", F.row_number().over(rank)).filter(F.col("path_rank") <= per_tree)
     path = best.select("tree", F.col("node").alias("leaf"), "node", "path_rank")
     for k in reversed(range(len(tables))):
@@ -107,23 +110,36 @@ def conversations_as_nodes(rows: DataFrame, conv_id: str = "conv_id", turn: str
     rows = rows.select(column(rows, conv_id).alias("tree"), column(rows, turn).alias("turn"), column(rows, role).alias("role"), column(rows, text).alias("text"))
     # one conversation must fit into a row of the output, which bounds this window's group
     place = F.row_number().over(Window.partitionBy("tree").orderBy("turn", "role", "text"))
-    node = lambda n: F.concat(F.coalesce(F.col("tree").cast("string"), F.lit("null")), F.lit(":"), n.cast("string"))
-    return rows.withColumn("place", place).select(
+    node = lambda n: F.concat(F.col("tree").cast("string"), F.lit(":"), n.cast("string"))
+    named = rows.filter("tree IS NOT NULL").withColumn("place", place).select(
         "tree", node(F.col("place")).alias("node"), F.when(F.col("place") > 1, node(F.col("place") - 1)).alias("parent"),
         "role", "text", F.lit(1.0).alias("score"),
     )
+    alone = rows.filter("tree IS NULL").select(
+        "tree", F.concat(F.lit("null:"), F.monotonically_increasing_id().cast("string")).alias("node"), F.lit(None).cast("string").alias("parent"), "role", "text", F.lit(1.0).alias("score")
+    )
+    return named.union(alone)
 
 
 def formatted(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
-    """One row per chosen path: tree, path_rank, leaf, formatted. ``nodes``: tree, node, parent, role, text, score."""
+    """One row per chosen path: tree, path_rank, leaf, formatted, loss_mask (message, start, end).
+
+    ``nodes``: tree, node, parent, role, text, score.
+    """
     spark = nodes.sparkSession
     prepare(spark)
     folder = shared_dir(spark)
     nodes = written(nodes, folder, "nodes")
     chosen = paths(nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), folder, per_tree)
-    said = chosen.join(nodes.select("node", message(F.col("role"), F.col("text")).alias("message")), "node")
-    turns = F.array_sort(F.collect_list(F.struct("depth", "message")))
-    return said.groupBy("tree", "path_rank", "leaf").agg(F.array_join(F.transform(turns, lambda t: t.message), "").alias("formatted"))
+    head = F.lit(len(START) + 1) + F.length(escape_role(F.col("role")))
+    own = nodes.select("node", message(F.col("role"), F.col("text")).alias("message"), head.alias("head"), F.coalesce(F.col("role") == LEARNED, F.lit(False)).alias("learned"))
+    path = Window.partitionBy("tree", "path_rank", "leaf").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("message")).over(path), F.lit(0))
+    said = chosen.join(own, "node").withColumn("start", at + F.col("head")).withColumn("end", at + F.length("message") - len(END))
+    turns = F.array_sort(F.collect_list(F.struct("depth", "message", "start", "end", "learned")))
+    out = said.groupBy("tree", "path_rank", "leaf").agg(turns.alias("turns"))
+    mask = F.transform(F.filter("turns", lambda t: t.learned), lambda t: F.struct(t.depth.alias("message"), t.start.alias("start"), t.end.alias("end")))
+    return out.select("tree", "path_rank", "leaf", F.array_join(F.transform("turns", lambda t: t.message), "").alias("formatted"), mask.alias("loss_mask"))
 
 
 def op8_reply_trees(spark, sf_dir: str) -> DataFrame:
@@ -135,7 +151,7 @@ def op8_reply_trees(spark, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"),
     )
     out = formatted(conversations_as_nodes(rows.union(extra))).withColumn("m", parse(F.col("formatted")))
-    learned = F.array_join(F.transform(F.filter("m", lambda x: x.role == LEARNED), lambda x: x.text), "")
+    learned = F.array_join(F.transform("loss_mask", lambda x: F.element_at("m", x.message.cast("int")).text), "")
     said = F.array_join(F.transform("m", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "")
     return out.select(
         F.col("tree").alias("conv_id"), F.size("m").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
@@ -146,8 +162,8 @@ def op8_reply_trees(spark, sf_dir: str) -> DataFrame:
 
 ORACLE_OP8 = r"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', NULL UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', NULL),
 e AS (
   SELECT *, '<|im_start|>' || regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<(\\*)\|im_', '<\1\\|im_', 'g') || chr(10)
     || regexp_replace(text, '<(\\*)\|im_', '<\1\\|im_', 'g') || '<|im_end|>' || chr(10) AS message FROM c)
@@ -155,5 +171,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(message)) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, alone
 """
