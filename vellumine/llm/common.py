@@ -26,10 +26,12 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (local tests) is a local temporary folder chosen.
+    Only a local session that names none gets a temporary folder of its machine; a cluster must name one.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="vellumine-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/vellumine-{uuid.uuid4().hex}"

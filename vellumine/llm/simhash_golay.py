@@ -299,13 +299,18 @@ def row_hash(df: DataFrame) -> Column:
 
 
 def keep_least(df: DataFrame, grouped: DataFrame, doc_id: str) -> DataFrame:
-    """``df`` with one row of each ``group`` of ``grouped``, which has doc_id, ``row_hash`` as own, and group, row by row."""
-    keys = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "own")
-    kept = grouped.groupBy("group").agg(F.min(keys).alias("k"))
-    i, h = fresh(df, "kept_id"), fresh(df, "kept_hash")
-    kept = kept.select(F.coalesce("k.doc_id", F.lit(0)).alias(i), F.col("k.own").alias(h))
-    rows = df.withColumn(i, F.coalesce(column(df, doc_id), F.lit(0))).withColumn(h, row_hash(df))
-    return rows.join(kept, [i, h], "left_semi").dropDuplicates([i, h]).select(*[column(df, c) for c in df.columns])
+    """``df`` with one row of each ``group`` of ``grouped``, which has doc_id, ``row_hash`` as own, and group, row by row.
+
+    Which rows stay is settled on the narrow table; of ``df`` only rows that occur more than once are exchanged to keep one.
+    """
+    each = grouped.groupBy("group", "doc_id", "own").agg(F.count("*").alias("n"))
+    kept = each.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "own", "n")).alias("k"))
+    i, h, n = fresh(df, "kept_id"), fresh(df, "kept_hash"), fresh(df, "kept_times")
+    kept = written(kept.select(F.coalesce("k.doc_id", F.lit(0)).alias(i), F.col("k.own").alias(h), F.col("k.n").alias(n)), shared_dir(df.sparkSession), "kept")
+    rows = df.withColumn(i, F.coalesce(column(df, doc_id), F.lit(0))).withColumn(h, row_hash(df)).join(kept, [i, h])
+    if not kept.filter(F.col(n) > 1).isEmpty():
+        rows = rows.filter(F.col(n) == 1).union(rows.filter(F.col(n) > 1).dropDuplicates([i, h]))
+    return rows.select(*[column(df, c) for c in df.columns])
 
 
 def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
