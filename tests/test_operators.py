@@ -1,7 +1,9 @@
 """DataFrame operators on small tables."""
 
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from vellumine.operators import evaluation as E
 from vellumine.operators import facts as K
 from vellumine.operators import graph as G
 from vellumine.operators import retrieval as R
+from vellumine.operators import vector_index as V
 from vellumine.plans import pipeline as L
 from vellumine.sources import files
 from vellumine.sources import html as H
@@ -71,6 +74,68 @@ def test_dense_blocks_and_edges(spark):
     assert R.dense(asked.filter("false"), vecs).count() == 0 and R.dense(asked, vecs.filter("false")).count() == 0
 
 
+def test_nearest_equals_brute_force():
+    rng = np.random.default_rng(2)
+    asked, v = rng.integers(0, 4, (7, 3)).astype(float), rng.integers(0, 4, (400, 3)).astype(float)
+    for size in (1, 7, 400):
+        near = R.Nearest(asked, 5)
+        for i in range(0, 400, size):
+            near.show(v[i : i + size], list(range(i, min(400, i + size))))
+        d = ((asked[:, None] - v[None]) ** 2).sum(axis=2)
+        edge = np.sort(d, axis=1)[:, 4]
+        want = {(q, x) for q, x in zip(*np.nonzero(d <= edge[:, None]), strict=True)}
+        assert set(zip(near.who.tolist(), near.ids, strict=True)) == want and np.allclose(near.far, d[near.who, near.ids])
+
+
+def test_vector_index(spark, tmp_path):
+    """Every vector is indexed; visiting all cells is exact, visiting some finds 0.9 of the neighbours of clustered vectors."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(20, 8)) * 4
+    vecs = [(i, (centre[i % 20] + rng.normal(size=8)).tolist(), "own") for i in range(1500)] + [(2000 + i, centre[0].tolist(), "own") for i in range(500)] + [(5000, None, "own"), (5001, [1.0], "own")]
+    df = spark.createDataFrame(vecs, "chunk_id long, embedding array<float>, `cells` string")
+    V.write(df, str(tmp_path), 32)
+    index, centres = V.open_index(spark, str(tmp_path))
+    assert index.count() == 2000 and "cells" in index.columns
+    asked = df.filter("chunk_id % 20 = 0 AND chunk_id < 5000").select(F.col("chunk_id").alias("query_id"), "embedding")
+    exact = R.dense(asked, df)
+    whole = V.search(asked, index, centres, probes=32, block=40)
+    key = lambda rows: sorted((r["query_id"], r["original_rank"], r["chunk_id"]) for r in rows.collect())
+    assert key(whole) == key(exact)
+    got = V.recall(V.search(asked, index, centres, probes=8), exact).first()
+    assert got["n_questions"] == 100 and got["recall"] >= 0.9
+    none = spark.createDataFrame([], df.schema)
+    assert V.fit(none).shape[0] == 0 and V.search(asked, V.assigned(none, V.fit(none)), V.fit(none)).count() == 0
+
+
+def test_bm25_pruning_changes_nothing(spark, tmp_path):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    weights = [1 / (i + 1) for i in range(300)]
+    docs = [(i, " ".join(rng.choices(words, weights, k=rng.randrange(0, 60)))) for i in range(800)]
+    df = spark.createDataFrame(docs, "chunk_id long, content string")
+    posts, stats = R.postings(df).cache(), R.corpus_stats(df)
+    terms = R.term_stats(posts, stats).cache()
+    asked = df.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("content").alias("text"))
+    key = lambda rows: sorted((r["query_id"], r["original_rank"], r["chunk_id"], round(r["raw_score"], 8)) for r in rows.collect())
+    for k in (1, 15):
+        assert key(R.bm25(asked, posts, terms, stats, k)) == key(R.bm25(asked, posts, terms, stats, k, folder=str(tmp_path / str(k))))
+    assert terms.filter("idf < 0").count() == 0
+    odd = terms.withColumn("idf", F.when(F.length("term") == 2, -0.3).otherwise(F.col("idf")))  # weights below zero too
+    assert key(R.bm25(asked, posts, odd, stats, 3)) == key(R.bm25(asked, posts, odd, stats, 3, folder=str(tmp_path / "odd")))
+    posts.unpersist(), terms.unpersist()
+
+
+def test_scoped_search(spark):
+    """Chunks of a scope's document by number; else by a name that the title holds, of any length."""
+    chunks = [(i, [float(i)], n, t) for i, (n, t) in enumerate([("1/2020/X", "Luật Một"), ("1/2020/x ", "Luật Một"), ("", "Bộ luật Lao động sửa đổi"), ("", "Luật Đất đai 2013"), (None, None), ("", "ab")])]
+    vecs = spark.createDataFrame(chunks, "chunk_id long, embedding array<double>, doc_number string, title string")
+    asked = spark.createDataFrame([(1, [0.9]), (2, [9.0])], "query_id int, embedding array<double>")
+    scopes = [(1, 1, "1/2020/X", "Luật Một"), (1, 2, "", "Lao động"), (2, 1, "9/9999/Y", "Đất đai"), (2, 2, "", "Không có"), (2, 3, "", "b")]
+    got = R.scoped(asked, spark.createDataFrame(scopes, "query_id int, pos int, doc_number string, title_hint string"), vecs).collect()
+    assert sorted((r["query_id"], r["scope_rank"], r["chunk_id"]) for r in got) == [(1, 1, 1), (1, 2, 0), (1, 3, 2), (2, 1, 3), (2, 2, 5)]
+    assert [r["chunk_id"] for r in R.scoped(asked, spark.createDataFrame(scopes, "query_id int, pos int, doc_number string, title_hint string"), vecs, limit=1).orderBy("query_id").collect()] == [1, 3]
+
+
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([("x", "a b b"), ("y", "a c"), ("z", None), ("w", "d")], "chunk_id string, content string")
     posts, stats = R.postings(docs), R.corpus_stats(docs)
@@ -228,5 +293,11 @@ def test_folders_and_streams(spark, tmp_path):
     spark.createDataFrame([("1", "u", "a", 1), ("1", "u", "b", 2)], "document_id string, source_url string, title string, seq long").write.parquet(str(src))
     stream = spark.readStream.schema("document_id string, source_url string, title string, seq long").parquet(str(src))
     ingest.upsert_stream(stream, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(60)
-    assert [r["title"] for r in spark.read.parquet(str(tmp_path / "t" / "version=0")).collect()] == ["b"]
+    assert [r["title"] for r in spark.read.parquet(str(tmp_path / "t")).collect()] == ["b"]
+    more = [(str(i), "u", f"t{i}", 3) for i in range(40)] + [("1", "u", "late", 0)]
+    spark.createDataFrame(more, "document_id string, source_url string, title string, seq long").write.mode("append").parquet(str(src))
+    old = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    ingest.upsert_stream(stream, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(60)
+    got = {r["document_id"]: r["title"] for r in spark.read.parquet(str(tmp_path / "t")).collect()}
+    assert got == {str(i): f"t{i}" for i in range(40)} and len(old) == 1
     assert files.registry_path("/a/b", None, lambda p: p == "/a/registry.parquet") == "/a/registry.parquet"

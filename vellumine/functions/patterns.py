@@ -34,6 +34,7 @@ AMENDMENT = re.compile(
 )
 SUPPLEMENT_INTO = re.compile(r"(?P<op>Bổ sung)\s+khoản\s+(?P<clause>\d+[a-z]?)\s+vào\s+Điều\s+(?P<article>\d+[a-z]?)", re.I)
 GUIDE_HINT = re.compile(r"\b(hướng dẫn|quy định chi tiết|thi hành)\b", re.I)
+AMENDMENT_WORDS = r"(?:Sửa đổi|Bổ sung|Bãi bỏ|Thay thế|Hết hiệu lực)"
 AMENDMENT_HINT = re.compile(r"\b(sửa đổi|bổ sung|bãi bỏ|thay thế|hết hiệu lực)\b", re.I)
 THIS_DOCUMENT = re.compile(r"\b(văn bản này|thông tư này|nghị định này|luật này|bộ luật này|điều này|khoản này)\b", re.I)
 AMENDED_BEFORE = re.compile(r"\b(sửa đổi|bổ sung|thay thế|bãi bỏ|vào)\b", re.I)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.functions import patterns as P
@@ -38,6 +39,16 @@ def documents(results: DataFrame, details: DataFrame, now: str) -> DataFrame:
     )
 
 
+def opened(spark: SparkSession, path: str) -> DataFrame:
+    """The registry at ``path``, or an empty one."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], Reg.SCHEMA + ", seq bigint")
+
+
 def registered(registry: DataFrame, docs: DataFrame, seq: int) -> DataFrame:
     """The registry (``Reg.SCHEMA`` and seq) after these documents and errors."""
     m = F.col("metadata")

@@ -1,8 +1,11 @@
 """The registered queries over the driver's tables and their DuckDB twins.
 
 Legal text is not in the tables, so the legal queries run over a view derived from ``documents``: per document 3 to 6
-articles of 2 or 3 clauses, whose bodies follow six templates (plain, a clause of an article, this article, an article of
-another document, an amendment, a legal basis). The twin of each query derives the expected rows from the templates.
+articles of 2 or 3 clauses, whose bodies follow eleven templates (plain, a clause of an article, this article, an article of
+another document, an amendment, a legal basis, a point of this document, a law by name, a generic law, an amendment that quotes the
+new text, a guide); every other document has a chapter. The twin of each query derives the expected rows from the templates.
+
+Searches ask the texts of all documents, and the vectors, whose id is divisible by 20.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from vellumine.operators import evaluation as E
 from vellumine.operators import facts as K
 from vellumine.operators import graph as G
 from vellumine.operators import retrieval as R
+from vellumine.operators import vector_index as V
 from vellumine.plans.tables import kept, shared_folder
 from vellumine.sources import html as H
 from vellumine.sources import registry as Reg
@@ -54,14 +58,19 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 _NUMBER = "concat(CAST(1+{d}%9999 AS VARCHAR(20)),'/',CAST(2010+{d}%15 AS VARCHAR(20)),'/',CASE {d}%3 WHEN 0 THEN 'NĐ-CP' WHEN 1 THEN 'TT-BLĐTBXH' ELSE 'QH14' END)"
 _OWN, _TARGET = _NUMBER.format(d="doc_id"), _NUMBER.format(d="((doc_id*13)%200)")
-_TEMPLATE = "((doc_id*7+a*3+c)%6)"
+_TEMPLATE = "((doc_id*7+a*3+c)%11)"
 _BODY = f"""CASE {_TEMPLATE}
   WHEN 0 THEN concat('Người lao động thực hiện nghĩa vụ số ',CAST(doc_id AS VARCHAR(20)),'.')
   WHEN 1 THEN concat('Thực hiện theo khoản ',CAST(c AS VARCHAR(20)),' Điều ',CAST(1+a%4 AS VARCHAR(20)),'.')
   WHEN 2 THEN 'Theo quy định tại Điều này.'
   WHEN 3 THEN concat('Áp dụng Điều ',CAST(a AS VARCHAR(20)),' Nghị định số ',{_TARGET},'.')
   WHEN 4 THEN concat('Sửa đổi, bổ sung khoản ',CAST(c AS VARCHAR(20)),' Điều ',CAST(a AS VARCHAR(20)),' của văn bản ',{_TARGET},'.')
-  ELSE concat('Căn cứ Bộ luật số ',{_TARGET},' quy định chi tiết.') END"""
+  WHEN 5 THEN concat('Căn cứ Bộ luật số ',{_TARGET},' quy định chi tiết.')
+  WHEN 6 THEN concat('Thực hiện theo điểm a khoản ',CAST(c AS VARCHAR(20)),' Điều ',CAST(1+a%3 AS VARCHAR(20)),' của Nghị định này.')
+  WHEN 7 THEN 'Theo Luật Đất đai.'
+  WHEN 8 THEN 'Theo Luật Việt Nam.'
+  WHEN 9 THEN concat('Sửa đổi khoản ',CAST(c AS VARCHAR(20)),' Điều ',CAST(a AS VARCHAR(20)),' của Nghị định số ',{_TARGET},' như sau:',chr(10),'“',CAST(c AS VARCHAR(20)),'. Nội dung mới.”')
+  ELSE concat('Hướng dẫn thi hành Luật số ',{_TARGET},'.') END"""
 _TYPE = "CASE doc_id%3 WHEN 0 THEN 'Nghị định' WHEN 1 THEN 'Thông tư' ELSE 'Bộ luật' END"
 
 
@@ -74,8 +83,9 @@ def legal_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("c") == 1, F.concat(F.lit("### Điều "), F.col("a"), F.lit(". Tên điều "), F.col("a"), F.lit("\n"))).otherwise(""), F.lit("#### Khoản "), F.col("c"), F.lit("\n"), F.col("body")
     )
     whole = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "c", line.alias("line")))).alias("l"))  # at most 18 lines a document
-    text = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
-    return C.parsed(whole.select(
+    chapter = F.when(F.col("doc_id") % 2 == 0, "Chương I\nQUY ĐỊNH CHUNG\n").otherwise("")
+    text = F.concat(chapter, F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    return C.parsed(whole.repartition(spark.sparkContext.defaultParallelism, "doc_id").select(
         F.col("doc_id").cast("string").alias("document_id"), text.alias("content"), F.expr(_OWN).alias("doc_number"), F.expr(_TYPE).alias("document_type"),
         F.concat(F.expr(_TYPE), F.lit(" mẫu "), F.col("doc_id")).alias("title"), F.concat(F.lit("laws/"), F.col("doc_id"), F.lit(".md")).alias("markdown_path"),
     ))
@@ -86,18 +96,19 @@ _LEGAL = f"""legal AS (
     a, c, {_TEMPLATE} AS k, {_BODY} AS body, 3+doc_id%4 AS maxa, concat(doc_id, ':a', a, ':c', c) AS cid
   FROM documents, (SELECT unnest(range(1,7)) AS a) x, (SELECT unnest(range(1,4)) AS c) y WHERE a <= 3+doc_id%4 AND c <= 2+(doc_id+a)%2),
 refs AS (
-  SELECT *, CASE k WHEN 1 THEN concat('khoản ',c,' Điều ',1+a%4) WHEN 2 THEN 'Điều này' ELSE concat('Điều ',a) END AS raw,
-    CASE k WHEN 1 THEN 'clause' ELSE 'article' END AS ref_type,
-    CASE WHEN k = 3 THEN 'external_document' WHEN k = 1 AND 1+a%4 > maxa THEN 'ambiguous_external' ELSE 'same_document' END AS scope,
-    CASE WHEN k = 3 THEN tnum WHEN k = 1 AND 1+a%4 > maxa THEN '' ELSE num END AS target_number,
-    CAST(CASE k WHEN 1 THEN 1+a%4 ELSE a END AS VARCHAR) AS target_article, CASE k WHEN 1 THEN CAST(c AS VARCHAR) ELSE '' END AS target_clause,
-    CASE WHEN k = 3 THEN 0.92::DOUBLE WHEN k = 2 THEN 0.95::DOUBLE WHEN 1+a%4 > maxa THEN 0.45::DOUBLE ELSE 0.8::DOUBLE END AS confidence
-  FROM legal WHERE k IN (1,2,3)),
-rels AS (SELECT DISTINCT doc_id, did, tgt, CASE k WHEN 4 THEN 'AMENDS' ELSE 'BASED_ON' END AS rel, tnum FROM legal WHERE k IN (4,5) AND tnum <> num),
+  SELECT *, CASE k WHEN 1 THEN concat('khoản ',c,' Điều ',1+a%4) WHEN 2 THEN 'Điều này' WHEN 6 THEN concat('điểm a khoản ',c,' Điều ',1+a%3) WHEN 7 THEN 'Luật Đất đai' ELSE concat('Điều ',a) END AS raw,
+    CASE k WHEN 1 THEN 'clause' WHEN 6 THEN 'point' WHEN 7 THEN 'external_document' ELSE 'article' END AS ref_type,
+    CASE WHEN k IN (3,7) THEN 'external_document' WHEN k = 1 AND 1+a%4 > maxa THEN 'ambiguous_external' ELSE 'same_document' END AS scope,
+    CASE WHEN k = 3 THEN tnum WHEN k = 7 OR (k = 1 AND 1+a%4 > maxa) THEN '' ELSE num END AS target_number,
+    CASE k WHEN 1 THEN CAST(1+a%4 AS VARCHAR) WHEN 6 THEN CAST(1+a%3 AS VARCHAR) WHEN 7 THEN '' ELSE CAST(a AS VARCHAR) END AS target_article, CASE WHEN k IN (1,6) THEN CAST(c AS VARCHAR) ELSE '' END AS target_clause,
+    CASE k WHEN 6 THEN 'a' ELSE '' END AS target_point, CASE k WHEN 7 THEN 'Luật Đất đai' ELSE '' END AS target_title,
+    CASE WHEN k = 3 THEN 0.92::DOUBLE WHEN k = 2 THEN 0.95::DOUBLE WHEN k = 6 THEN 0.9::DOUBLE WHEN k = 7 THEN 0.75::DOUBLE WHEN 1+a%4 > maxa THEN 0.45::DOUBLE ELSE 0.8::DOUBLE END AS confidence
+  FROM legal WHERE k IN (1,2,3,6,7)),
+rels AS (SELECT DISTINCT doc_id, did, tgt, CASE k WHEN 5 THEN 'BASED_ON' WHEN 10 THEN 'GUIDES' ELSE 'AMENDS' END AS rel, tnum FROM legal WHERE k IN (4,5,9,10) AND tnum <> num),
 edges AS (
-  SELECT cid AS src, 'REFERS_TO' AS rel, CASE k WHEN 1 THEN concat(did,':a',target_article,':c',c) WHEN 2 THEN concat(did,':a',a) ELSE concat(tgt,':a',a) END AS dst,
-    CASE k WHEN 1 THEN 'clause' ELSE 'article' END AS dst_type FROM refs WHERE scope <> 'ambiguous_external'
-  UNION ALL SELECT cid, 'AMENDS', concat(tgt,':a',a,':c',c), 'clause' FROM legal WHERE k = 4
+  SELECT cid AS src, 'REFERS_TO' AS rel, CASE WHEN k IN (1,6) THEN concat(did,':a',target_article,':c',c) WHEN k = 2 THEN concat(did,':a',a) WHEN k = 7 THEN 'docref:luật đất đai' ELSE concat(tgt,':a',a) END AS dst,
+    CASE WHEN k IN (1,6) THEN 'clause' WHEN k = 7 THEN 'document' ELSE 'article' END AS dst_type FROM refs WHERE scope <> 'ambiguous_external'
+  UNION ALL SELECT cid, 'AMENDS', concat(tgt,':a',a,':c',c), 'clause' FROM legal WHERE k IN (4,9)
   UNION ALL SELECT did, rel, CAST(tgt AS VARCHAR), 'document' FROM rels)"""
 
 
@@ -117,19 +128,21 @@ def chunk_units(spark, sf):
     return C.chunks(legal_documents(spark, sf)).select("chunk_id", "document_id", "clause_id", "content", "chunk_part", "chunk_index", "source")
 
 
-@query(f"""WITH {_LEGAL} SELECT did AS document_id, concat('### Điều 1. Tên điều 1', chr(10)) AS head, CAST(count(DISTINCT a) AS BIGINT) AS n_articles, count(*) AS n_clauses FROM legal GROUP BY did""")
+@query(f"""WITH {_LEGAL}, whole AS (SELECT did AS document_id, concat(CASE WHEN doc_id % 2 = 0 THEN concat('# Chương I - QUY ĐỊNH CHUNG', chr(10)) ELSE '' END,
+  string_agg(concat(CASE WHEN c = 1 THEN concat('### Điều ', a, '. Tên điều ', a, chr(10)) ELSE '' END, '#### Khoản ', c, chr(10), body), chr(10) ORDER BY a, c)) AS t FROM legal GROUP BY did, doc_id)
+SELECT document_id, sha256(t) AS text_sha256, length(t) AS n_chars FROM whole""")
 def normalize_headings(spark, sf):
-    n = lambda p: F.regexp_count("normalized", F.lit(p)).cast("long")
-    return legal_documents(spark, sf).select("document_id", F.substring("normalized", 1, 23).alias("head"), n(r"(?m)^### Điều \d+\. ").alias("n_articles"), n(r"(?m)^#### Khoản \d+$").alias("n_clauses"))
+    return legal_documents(spark, sf).select("document_id", F.sha2("normalized", 256).alias("text_sha256"), F.length("normalized").cast("long").alias("n_chars"))
 
 
-@query(f"""WITH {_LEGAL} SELECT sha1(concat(cid, ':', instr(body, raw) - 1, ':', raw)) AS id, did AS document_id, cid AS clause_id, raw AS raw_text, ref_type, scope,
-  target_number AS target_document_number, target_article AS target_article_no, target_clause AS target_clause_no, confidence, body AS evidence_text FROM refs""")
+@query(f"""WITH {_LEGAL} SELECT sha1(concat(cid, ':', CASE k WHEN 7 THEN 0 ELSE instr(body, raw) - 1 END, ':', raw)) AS id, did AS document_id, cid AS clause_id, raw AS raw_text, ref_type, scope,
+  target_number AS target_document_number, target_article AS target_article_no, target_clause AS target_clause_no, target_point, target_title AS target_title_hint, confidence,
+  CASE k WHEN 7 THEN raw ELSE body END AS evidence_text FROM refs""")
 def references(spark, sf):
     rows = K.references(legal_documents(spark, sf))
     return rows.select(
         "id", F.col("source_document_id").alias("document_id"), F.col("source_clause_id").alias("clause_id"), "raw_text", "ref_type", "scope", "target_document_number", "target_article_no",
-        "target_clause_no", "confidence", "evidence_text",
+        "target_clause_no", "target_point", "target_title_hint", "confidence", "evidence_text",
     )
 
 
@@ -138,8 +151,8 @@ def reference_ladder(spark, sf):
     return K.references(legal_documents(spark, sf)).groupBy("scope", "confidence").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_LEGAL} SELECT cid AS clause_id, 'amend' AS operation_type, concat('Sửa đổi, bổ sung khoản ',c,' Điều ',a) AS raw_text, CASE WHEN tnum = num THEN '' ELSE tnum END AS target_document_number,
-  CAST(a AS VARCHAR) AS target_article_no, CAST(c AS VARCHAR) AS target_clause_no, '' AS new_text FROM legal WHERE k = 4""")
+@query(f"""WITH {_LEGAL} SELECT cid AS clause_id, 'amend' AS operation_type, concat(CASE k WHEN 4 THEN 'Sửa đổi, bổ sung' ELSE 'Sửa đổi' END,' khoản ',c,' Điều ',a) AS raw_text, CASE WHEN tnum = num THEN '' ELSE tnum END AS target_document_number,
+  CAST(a AS VARCHAR) AS target_article_no, CAST(c AS VARCHAR) AS target_clause_no, CASE k WHEN 9 THEN concat(c, '. Nội dung mới.') ELSE '' END AS new_text FROM legal WHERE k IN (4,9)""")
 def amendments(spark, sf):
     rows = K.amendments(legal_documents(spark, sf))
     return rows.select(F.col("source_clause_id").alias("clause_id"), "operation_type", "raw_text", "target_document_number", "target_article_no", "target_clause_no", "new_text")
@@ -150,22 +163,22 @@ def doc_relations(spark, sf):
     return K.relations(legal_documents(spark, sf)).select(F.col("source_document_id").alias("document_id"), "relation_type", "target_document_number", "confidence")
 
 
-@query(f"""WITH {_LEGAL} SELECT t AS relation_type, count(*) AS n FROM (SELECT 'REFERENCE' AS t FROM refs UNION ALL SELECT 'AMENDS' FROM legal WHERE k = 4 UNION ALL SELECT rel FROM rels) GROUP BY t""")
+@query(f"""WITH {_LEGAL} SELECT t AS relation_type, count(*) AS n FROM (SELECT 'REFERENCE' AS t FROM refs UNION ALL SELECT 'AMENDS' FROM legal WHERE k IN (4,9) UNION ALL SELECT rel FROM rels) GROUP BY t""")
 def relation_counts(spark, sf):
     return audit_row(spark, sf).select(F.explode("relations_by_type").alias("relation_type", "n"))
 
 
 def audit_row(spark, sf):
-    docs = legal_documents(spark, sf)
+    docs = kept(legal_documents(spark, sf), shared_folder(spark), "documents")
     return K.audit(docs, K.references(docs), K.amendments(docs), K.relations(docs), K.clause_references(docs))
 
 
 @query(f"""WITH {_LEGAL} SELECT count(DISTINCT did) AS documents_seen, count(*) AS primary_units, (SELECT count(*) FROM refs WHERE scope = 'ambiguous_external') AS ambiguous_references,
-  (SELECT count(*) FROM refs WHERE scope <> 'ambiguous_external') + count(*) FILTER (WHERE k = 4) AS edges, 0::BIGINT AS blocked, 0::BIGINT AS without_clauses FROM legal""")
+  (SELECT count(*) FROM refs WHERE scope <> 'ambiguous_external') + count(*) FILTER (WHERE k IN (4,9)) AS edges, count(*) FILTER (WHERE k = 9) AS quoted_blocks, 0::BIGINT AS blocked, 0::BIGINT AS without_clauses FROM legal""")
 def audit(spark, sf):
     return audit_row(spark, sf).select(
         "documents_seen", "primary_units", "ambiguous_references", F.col("incoming_outgoing_edges_materialized").alias("edges"), F.col("same_document_refs_blocked_by_max_article").alias("blocked"),
-        F.col("documents_without_clauses").alias("without_clauses"),
+        F.col("documents_without_clauses").alias("without_clauses"), F.col("quoted_replacement_blocks").alias("quoted_blocks"),
     )
 
 
@@ -173,7 +186,8 @@ def legal_graph(spark, sf):
     """Parsed documents, nodes and edges; each is written once, as an index is, and read by the lookups."""
     folder = shared_folder(spark)
     docs = kept(legal_documents(spark, sf), folder, "documents")
-    links = kept(G.edges(K.references(docs), K.amendments(docs), K.relations(docs), docs), folder, "edges")
+    amends = kept(K.amendments(docs), folder, "amendments")
+    links = kept(G.edges(K.references(docs), amends, K.relations(docs, amending=amends), docs), folder, "edges")
     return docs, kept(G.nodes(docs, links), folder, "nodes"), links
 
 
@@ -182,14 +196,17 @@ def graph_edges(spark, sf):
     return legal_graph(spark, sf)[2].select("src", "rel", "dst", "dst_type")
 
 
-@query(f"WITH {_LEGAL} SELECT dst_type, rel, count(*) AS n, count(DISTINCT dst) AS n_targets FROM edges GROUP BY ALL")
+@query(f"""WITH {_LEGAL} SELECT src, dst, CASE WHEN dst LIKE 'docref:%' THEN dst ELSE split_part(dst, ':', 1) END AS dst_document, CASE WHEN dst LIKE 'docref:%' THEN '' ELSE coalesce(substr(nullif(split_part(dst, ':', 2), ''), 2), '') END AS target_article_no,
+  CASE WHEN dst LIKE 'docref:%' THEN '' ELSE coalesce(substr(nullif(split_part(dst, ':', 3), ''), 2), '') END AS target_clause_no, CASE WHEN dst LIKE 'docref:%' THEN 'Luật Đất đai' ELSE '' END AS target_title_hint FROM edges""")
 def resolve_targets(spark, sf):
-    return legal_graph(spark, sf)[2].groupBy("dst_type", "rel").agg(F.count("*").alias("n"), F.countDistinct("dst").alias("n_targets"))
+    """What every fact's target was resolved to."""
+    rows = legal_graph(spark, sf)[2]
+    return rows.select("src", "dst", "dst_document", *[X.text(c).alias(c) for c in ("target_article_no", "target_clause_no", "target_title_hint")])
 
 
 _UNITS = """units AS (SELECT did AS unit_id, 'document' AS unit_type, title AS text, TRUE AS resolved FROM legal GROUP BY ALL UNION ALL
   SELECT DISTINCT concat(did,':a',a), 'article', concat('Tên điều ',a), TRUE FROM legal UNION ALL SELECT cid, 'clause', body, TRUE FROM legal),
-nodes AS (SELECT * FROM units UNION ALL SELECT DISTINCT dst, dst_type, '', TRUE FROM edges WHERE dst NOT IN (SELECT unit_id FROM units))"""
+nodes AS (SELECT * FROM units UNION ALL SELECT DISTINCT dst, dst_type, CASE WHEN dst LIKE 'docref:%' THEN 'Luật Đất đai' ELSE '' END, dst NOT LIKE 'docref:%' FROM edges WHERE dst NOT IN (SELECT unit_id FROM units))"""
 
 
 @query(f"WITH {_LEGAL}, {_UNITS} SELECT unit_id, unit_type, text, resolved FROM nodes")
@@ -220,12 +237,12 @@ def related_clauses(spark, sf):
     return G.related_clauses(_seeds(docs), units, links).select("query_id", "pos", "unit_id", "graph_direction", "graph_relation_type")
 
 
-@query(f"""WITH {_LEGAL} SELECT r.doc_id AS query_id, 1 AS pos, r.tnum AS doc_number, t.title AS title_hint FROM (SELECT DISTINCT doc_id, tgt, tnum FROM rels) r
-  JOIN (SELECT DISTINCT doc_id, title FROM legal) t ON t.doc_id = r.tgt WHERE r.doc_id % 20 = 0""")
+@query(f"WITH {_LEGAL} SELECT doc_id AS query_id, 1 AS pos, '' AS doc_number, 'Luật Đất đai' AS title_hint FROM legal WHERE doc_id % 20 = 0 AND a <= 2 AND c = 1 GROUP BY doc_id HAVING bool_or(k = 7)")
 def external_scopes(spark, sf):
-    """Documents that the asked documents relate to, taken as references."""
+    """Documents that the first clauses of two articles refer to."""
     docs, units, links = legal_graph(spark, sf)
-    return G.external_scopes(_seeds(docs).withColumn("unit_id", F.col("document_id")), units, links.withColumn("rel", F.lit("REFERS_TO"))).select("query_id", "pos", "doc_number", "title_hint")
+    seeds = _seeds(docs).unionByName(_seeds(docs).withColumn("unit_id", F.concat("document_id", F.lit(":a2:c1"))).withColumn("pos", F.lit(2)))
+    return G.external_scopes(seeds, units, links).select("query_id", "pos", "doc_number", "title_hint")
 
 
 _ASKED = """asked AS (SELECT DISTINCT doc_id AS query_id, CASE (doc_id // 20) % 3 WHEN 0 THEN concat('khoản 2 Điều 1 Nghị định ', num) WHEN 1 THEN concat('Theo ', num, ' tại Điều 2 thì sao') ELSE concat('Luật số ', num, ' còn hiệu lực không') END AS text,
@@ -258,26 +275,29 @@ def anchor_scopes(spark, sf):
 
 # --- sparse and dense retrieval ---
 
-ASKED = {1: "the and of to", 2: "de la que el", 3: "der und die ist", 4: "tionthe Apache License thth"}
-_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')"
-_QS = ", ".join(f"({k}, '{v}')" for k, v in ASKED.items())
-_POSTS = f"""docs AS (SELECT doc_id AS chunk_id, {_WORDS} AS w FROM documents), words AS (SELECT chunk_id, len(w) AS length, unnest(w) AS term FROM docs),
-posts AS (SELECT term, chunk_id, length, count(*) AS tf FROM words GROUP BY ALL), stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM docs),
-raw AS (SELECT term, count(*) AS df, ln((SELECT n FROM stats) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM posts GROUP BY term),
-terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(string_split(text, ' ')) AS term FROM (VALUES {_QS}) q(query_id, text)) GROUP BY ALL),
+def _words(c: str) -> str:
+    return rf"list_filter(string_split_regex(coalesce({c}, ''), '\s+'), lambda x: x <> '')"
+
+
+_POSTS = f"""docs AS MATERIALIZED (SELECT doc_id AS chunk_id, {_words('text')} AS w FROM documents), words AS (SELECT chunk_id, len(w) AS length, unnest(w) AS term FROM docs),
+posts AS MATERIALIZED (SELECT term, chunk_id, length, count(*) AS tf FROM words GROUP BY ALL), stats AS MATERIALIZED (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM docs),
+raw AS MATERIALIZED (SELECT term, count(*) AS df, ln((SELECT n FROM stats) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM posts GROUP BY term),
+mean AS MATERIALIZED (SELECT avg(raw) AS m FROM raw),
+terms AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT m FROM mean) ELSE raw END AS idf FROM raw)"""
+_BM25 = f"""{_POSTS}, asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT chunk_id AS query_id, unnest(w) AS term FROM docs WHERE chunk_id % 20 = 0) GROUP BY ALL),
 hits AS (SELECT query_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / (SELECT avgdl FROM stats)))) AS score FROM asked JOIN terms USING (term) JOIN posts USING (term) GROUP BY ALL),
-bm25 AS (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank, score FROM hits WHERE score <> 0 QUALIFY rank <= 15)"""
+bm25 AS MATERIALIZED (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank, score FROM hits WHERE score <> 0 QUALIFY rank <= 15)"""
 
 
-def asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ASKED.items()), "query_id int, text string")
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    return documents(spark, sf).filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("content").alias("text"))
 
 
 def sparse(spark, sf, k: int = R.RETRIEVAL_K) -> DataFrame:
-    docs = documents(spark, sf)
-    posts, stats = R.postings(docs), R.corpus_stats(docs)
-    return R.bm25(asked(spark), posts, R.term_stats(posts, stats), stats, k)
+    """BM25 over stored postings, as an index has them."""
+    docs, folder = documents(spark, sf), shared_folder(spark)
+    posts, stats = kept(R.postings(docs), folder, "postings"), kept(R.corpus_stats(docs), folder, "corpus")
+    return R.bm25(asked(spark, sf), posts, kept(R.term_stats(posts, stats), folder, "terms"), stats, k, folder=f"{folder}/bm25")
 
 
 @query(f"WITH {_POSTS} SELECT chunk_id AS doc_id, CAST(len(w) AS BIGINT) AS n_tokens, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct FROM docs")
@@ -289,7 +309,8 @@ def token_stats(spark, sf):
 @query(f"WITH {_POSTS} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def term_df_idf(spark, sf):
     docs = documents(spark, sf)
-    return R.term_stats(R.postings(docs), R.corpus_stats(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
+    posts = kept(R.postings(docs), shared_folder(spark), "postings")
+    return R.term_stats(posts, R.corpus_stats(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_POSTS} SELECT n AS n_chunks, round(avgdl, 6) AS avgdl FROM stats")
@@ -297,7 +318,7 @@ def doc_lengths(spark, sf):
     return R.corpus_stats(documents(spark, sf)).select("n_chunks", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query(f"WITH {_POSTS} SELECT query_id, chunk_id AS doc_id, rank AS original_rank, round(score, 6) AS raw_score FROM bm25")
+@query(f"WITH {_BM25} SELECT query_id, chunk_id AS doc_id, rank AS original_rank, round(score, 6) AS raw_score FROM bm25")
 def bm25_topk(spark, sf):
     return sparse(spark, sf).select("query_id", F.col("chunk_id").alias("doc_id"), "original_rank", F.round("raw_score", 6).alias("raw_score"))
 
@@ -327,8 +348,16 @@ def knn_filtered_by_label(spark, sf):
     return rows.select("query_id", F.col("chunk_id").alias("vec_id"), "original_rank", F.round("raw_score", 6).alias("raw_score"))
 
 
-_NEAR4 = f"""near AS (SELECT q.vec_id + 1 AS query_id, v.vec_id AS chunk_id, {_DIST} AS score FROM (SELECT * FROM embeddings WHERE vec_id < 4) q, embeddings v),
-dense AS (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS INTEGER) AS rank, score FROM near QUALIFY rank <= 15)"""
+@query("SELECT count(*) AS n_questions, TRUE AS enough FROM embeddings WHERE vec_id % 20 = 0 AND embedding IS NOT NULL")
+def knn_index_recall(spark, sf):
+    """A stored vector index against the exact search: whether it finds 0.9 of the neighbours."""
+    path = shared_folder(spark)
+    V.write(vectors(spark, sf), path)
+    found = V.search(vector_questions(spark, sf), *V.open_index(spark, path))
+    return V.recall(found, R.dense(vector_questions(spark, sf), vectors(spark, sf))).select("n_questions", (F.col("recall") >= 0.9).alias("enough"))
+
+
+_NEAR = _KNN.format(on="")
 
 
 def _fused_sql(w: tuple[float, float]) -> str:
@@ -339,37 +368,35 @@ fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round
 
 
 def hybrid(spark, sf, weights=None) -> DataFrame:
-    """The four stated questions, each with a vector of the table, over documents and vectors of the same ids."""
-    vecs = vectors(spark, sf)
-    near = R.dense(vecs.filter("chunk_id < 4").select((F.col("chunk_id") + 1).cast("int").alias("query_id"), "embedding"), vecs)
+    """Documents and vectors of the same ids are searched together."""
+    near = R.dense(vector_questions(spark, sf), vectors(spark, sf))
     return R.fuse(near.unionByName(sparse(spark, sf)), weights=weights)
 
 
-@query(f"WITH {_POSTS}, {_NEAR4}, {_fused_sql((1, 1))} SELECT CAST(query_id AS INTEGER) AS query_id, chunk_id, rank AS retrieval_rank, round(s, 6) AS fused_score FROM fused")
+@query(f"WITH {_BM25}, {_NEAR}, {_fused_sql((1, 1))} SELECT query_id, chunk_id, rank AS retrieval_rank, round(s, 6) AS fused_score FROM fused")
 def rrf_fusion(spark, sf):
     return hybrid(spark, sf).select("query_id", "chunk_id", "retrieval_rank", F.round("fused_score", 6).alias("fused_score"))
 
 
-@query(f"WITH {_POSTS}, {_NEAR4}, {_fused_sql((0.5, 2))} SELECT CAST(query_id AS INTEGER) AS query_id, chunk_id, rank AS retrieval_rank, round(s, 6) AS fused_score FROM fused")
+@query(f"WITH {_BM25}, {_NEAR}, {_fused_sql((0.5, 2))} SELECT query_id, chunk_id, rank AS retrieval_rank, round(s, 6) AS fused_score FROM fused")
 def rrf_weighted(spark, sf):
     return hybrid(spark, sf, {"semantic": 0.5, "bm25": 2.0}).select("query_id", "chunk_id", "retrieval_rank", F.round("fused_score", 6).alias("fused_score"))
 
 
-@query(f"WITH {_POSTS}, {_NEAR4}, {_fused_sql((1, 1))} SELECT CAST(query_id AS INTEGER) AS query_id, chunk_id, trace FROM fused")
+@query(f"WITH {_BM25}, {_NEAR}, {_fused_sql((1, 1))} SELECT query_id, chunk_id, trace FROM fused")
 def rrf_trace(spark, sf):
     said = F.array_join(F.transform("retrieval_trace", lambda t: F.concat(t["source_retriever"], F.lit(":"), t["original_rank"].cast("string"))), ",")
     return hybrid(spark, sf).select("query_id", "chunk_id", said.alias("trace"))
 
 
-_RERANK = f"""scored AS (SELECT b.query_id, b.chunk_id, b.rank AS r0, len(list_filter(list_distinct(string_split(lower(q.text), ' ')), lambda x: list_contains(
-    list_filter(string_split_regex(lower(coalesce(d.text, '')), '\\s+'), lambda y: y <> ''), x)))::DOUBLE / len(list_distinct(string_split(lower(q.text), ' '))) AS score
-  FROM bm25 b JOIN (VALUES {_QS}) q(query_id, text) ON q.query_id = b.query_id JOIN documents d ON d.doc_id = b.chunk_id),
+_RERANK = f"""scored AS (SELECT b.query_id, b.chunk_id, b.rank AS r0, coalesce(len(list_intersect({_words('lower(q.text)')}, {_words('lower(d.text)')}))::DOUBLE / nullif(len(list_distinct({_words('lower(q.text)')})), 0), 0) AS score
+  FROM bm25 b JOIN documents q ON q.doc_id = b.query_id JOIN documents d ON d.doc_id = b.chunk_id),
 reranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r0) AS INTEGER) AS rank FROM scored)"""
 
 
-@query(f"WITH {_POSTS}, {_RERANK} SELECT query_id, chunk_id, rank AS rerank_rank, round(score, 6) AS rerank_score FROM reranked WHERE rank <= 5 AND score >= 0.5")
+@query(f"WITH {_BM25}, {_RERANK} SELECT query_id, chunk_id, rank AS rerank_rank, round(score, 6) AS rerank_score FROM reranked WHERE rank <= 5 AND score >= 0.5")
 def rerank_threshold_topk(spark, sf):
-    rows = sparse(spark, sf).withColumnRenamed("original_rank", "retrieval_rank").join(documents(spark, sf), "chunk_id").join(asked(spark).withColumnRenamed("text", "query"), "query_id")
+    rows = sparse(spark, sf).withColumnRenamed("original_rank", "retrieval_rank").join(documents(spark, sf), "chunk_id").join(asked(spark, sf).withColumnRenamed("text", "query"), "query_id")
     return R.rerank(rows, min_score=0.5).select("query_id", "chunk_id", "rerank_rank", F.round("rerank_score", 6).alias("rerank_score"))
 
 
@@ -459,10 +486,14 @@ def chunk_headers(spark, sf):
     return legal_documents(spark, sf).select("document_id", F.posexplode(C.split_headers("normalized")).alias("chunk_index", "s")).select("document_id", "chunk_index", "s.Dieu", "s.Khoan", "s.content")
 
 
-@query("SELECT doc_id, concat('### Điều 1. Tên', chr(10), 'một dòng') AS kept, 'một dòng' AS uncommented FROM documents")
+_MARKED = """CASE doc_id % 4 WHEN 0 THEN concat('### Điều ', CAST(1+doc_id%9 AS VARCHAR(20)), '. Tên') WHEN 1 THEN '# chương II' WHEN 2 THEN '##### Mục 3' ELSE 'Không có đề mục' END"""
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN concat('Lời dẫn ', doc_id, chr(10)) ELSE '' END || {_MARKED} || chr(10) || concat('dòng ', doc_id) AS kept, concat('một dòng', chr(10), chr(10), 'dòng ', doc_id) AS uncommented FROM documents""")
 def strip_preamble(spark, sf):
-    body = F.concat(F.lit("Lời dẫn "), F.col("doc_id"), F.lit("\n### Điều 1. Tên\nmột dòng\n"))
-    note = F.concat(F.lit("<!-- id: "), F.col("doc_id"), F.lit(" -->\nmột dòng\n"))
+    own = F.concat(F.lit("dòng "), F.col("doc_id"), F.lit("\n"))
+    body = F.concat(F.lit("Lời dẫn "), F.col("doc_id"), F.lit("\n"), F.expr(_MARKED), F.lit("\n"), own)
+    note = F.concat(F.lit("  <!-- id: "), F.col("doc_id"), F.lit(" -->\nmột dòng\n<!-- x -->\n"), own)
     return table(spark, sf, "documents").select("doc_id", X.strip_preamble(body).alias("kept"), X.strip_comment_lines(note).alias("uncommented"))
 
 
@@ -540,13 +571,15 @@ def allowed_types_filter(spark, sf):
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY coalesce(text, '')")
 def dedupe_exact_content(spark, sf):
-    return table(spark, sf, "documents").groupBy(F.sha2(X.text("text"), 256).alias("content_sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")).select("doc_id", "n_copies")
+    rows = table(spark, sf, "documents").select("doc_id", F.sha2(X.text("text"), 256).alias("content_sha256"), F.lit(1.0).alias("confidence"))
+    n = rows.groupBy("content_sha256").agg(F.count("*").alias("n_copies"))
+    return K.keep_best(rows, "content_sha256", order=("doc_id",)).join(n, "content_sha256").select("doc_id", "n_copies")
 
 
 @query("SELECT source, lang, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) = 1")
 def dedupe_keep_best(spark, sf):
-    best = F.max_by(F.struct("doc_id", "n_chars"), F.struct("n_chars", -F.col("doc_id"))).alias("b")
-    return table(spark, sf, "documents").groupBy("source", "lang").agg(best).select("source", "lang", "b.doc_id", "b.n_chars")
+    rows = table(spark, sf, "documents").select("source", "lang", "doc_id", "n_chars", F.col("n_chars").alias("confidence"))
+    return K.keep_best(rows, "source", "lang", order=("doc_id",)).select("source", "lang", "doc_id", "n_chars")
 
 
 @query(r"""SELECT doc_id, concat(lpad(CAST(1+doc_id%28 AS VARCHAR), 2, '0'), '/', lpad(CAST(1+doc_id%12 AS VARCHAR), 2, '0'), '/', 2000+doc_id%25) AS api_date, concat('luat-so-', doc_id, '-ve-dat-dai') AS slug,

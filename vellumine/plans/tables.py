@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a local temporary one only where the session names none."""
+    """A new folder under ``spark.checkpoint.dir``; a temporary one only for a local session that names none."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="vellumine-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/vellumine-{uuid.uuid4().hex}"

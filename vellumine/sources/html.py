@@ -18,6 +18,7 @@ from vellumine.functions import patterns as P
 from vellumine.functions import text as X
 from vellumine.operators.chunking import arrow, normalize
 from vellumine.operators.grammar import space
+from vellumine.sources.registry import first_of_equals
 
 # Element and attribute names.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -243,7 +244,8 @@ def search_results(pages: DataFrame, html: str = "html", base: str = "") -> Data
     title = X.first_of("r.card_title", "r.title", X.infer_title("r.card_text"))
     rows = rows.select(X.detail_url(href).alias("source_url"), title.alias("title"), F.col("r.card_text").alias("card_text")).distinct()
     rows = rows.withColumn("status", X.infer_status("card_text")).withColumn("document_type", X.infer_type(X.first_of("title", "card_text"))).withColumn("metadata", X.metadata_from_text("card_text"))
-    rows = rows.filter("title != '' AND status != '' AND document_type != ''").drop("card_text").dropDuplicates(["source_url"])
+    rows = rows.filter("title != '' AND status != '' AND document_type != ''").drop("card_text")
+    rows = first_of_equals(rows, "source_url")
     return rows.select(X.id_from_url("source_url").alias("document_id"), "*")
 
 

@@ -86,7 +86,15 @@ def search_results(items: DataFrame, types: tuple[str, ...] = P.DOCUMENT_TYPES)
         X.normalize_space(F.col("effStatus.name")).alias("status"), as_map(summary()).alias("metadata"),
     )
     rows = rows.filter((F.col("document_id") != "") & (F.col("title") != "") & F.col("document_type").isin(*types))
-    return rows.withColumn("source_url", X.public_url("document_id", "title")).dropDuplicates(["document_id"])
+    return first_of_equals(rows.withColumn("source_url", X.public_url("document_id", "title")), "document_id")
+
+
+def first_of_equals(rows: DataFrame, key: str) -> DataFrame:
+    """One row a key: the least in the order of its columns (maps by their JSON), so that it doesn't depend on chance."""
+    others = [c for c in rows.columns if c != key]
+    order = F.struct(*[F.to_json(c) if t.startswith("map") else F.col(c) for c, t in rows.dtypes if c != key])
+    least = rows.groupBy(key).agg(F.min_by(F.struct(*others), order).alias("least"))
+    return least.select(*[F.col(key) if c == key else F.col(f"least.{c}").alias(c) for c in rows.columns])
 
 
 def detail_map() -> Column:
@@ -179,9 +187,12 @@ def F_quote(s: str) -> str:
     return r"\Q" + s.replace(r"\E", "") + r"\E"
 
 
-def clean_map(c: X.Text) -> Column:
-    """A map without null and empty values."""
-    return F.map_filter(X.col(c), lambda k, v: v.isNotNull() & (v != ""))
+def clean_metadata(rows: DataFrame, *names: str) -> Column:
+    """The columns as a map of texts without null and empty values; nested values as JSON."""
+    kinds = dict(rows.dtypes)
+    text = lambda c: F.to_json(c) if kinds[c].startswith(("array", "map", "struct")) else F.col(c).cast("string")
+    whole = F.create_map(*[x for c in names for x in (F.lit(c), text(c))])
+    return F.map_filter(whole, lambda k, v: v.isNotNull() & (v != ""))
 
 
 def sidecar(with_content: bool = False) -> Column:

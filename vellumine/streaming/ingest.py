@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from vellumine.plans.tables import kept
 from vellumine.sources import registry as R
 
+BUCKETS = 64
+
 
 def markdown_stream(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of new ``*.md`` files as they appear."""
@@ -14,17 +18,22 @@ def markdown_stream(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
-def upsert_stream(stream: DataFrame, table: str, checkpoint: str):
-    """Write a stream of registry rows to a table of versions: each batch is upserted into the newest one.
+def upsert_stream(stream: DataFrame, table: str, checkpoint: str, buckets: int = BUCKETS):
+    """Upsert a stream of registry rows into a table that is partitioned by a hash of the document's id.
 
-    A batch that is run again writes the same version again. Returns the query.
+    A batch reads and rewrites the buckets that it touches and no others; what it writes is staged beside the checkpoint first. A
+    batch that is run again, after a failure in the midst of its commit too, gives the same rows. Returns the query.
     """
     spark = stream.sparkSession
+    schema = T.StructType([*stream.schema.fields, T.StructField("bucket", T.IntegerType())])
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("bucket").parquet(table)
 
     def apply(batch: DataFrame, n: int) -> None:
-        old = f"{table}/version={n - 1}"
-        now = spark.read.schema(batch.schema).parquet(old) if n else batch.limit(0)
-        R.upsert(now, batch).write.mode("overwrite").parquet(f"{table}/version={n}")
+        mark = F.pmod(F.xxhash64(R.document_id()), F.lit(buckets)).cast("int").alias("bucket")
+        touched = [r["bucket"] for r in batch.select(mark).distinct().collect()]  # at most ``buckets`` rows
+        old = spark.read.schema(schema).parquet(table).filter(F.col("bucket").isin(touched)).drop("bucket")
+        new = kept(R.upsert(old, batch).select("*", mark), f"{checkpoint}-staged", "batch")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
