@@ -65,7 +65,10 @@ def test_empty(spark, tmp_path):
 
 def test_a_cut_archive_is_an_error():
     sink = io.BytesIO()
-    w.write_record(sink, "urn:x", "u", memoryview(b"abc" * 9000), "d", 27000, None)
+    record = w.Record(sink, "urn:x", "u", hashlib.sha1(b"abc" * 9000).hexdigest(), 27000, None)
+    for _ in range(90):
+        record.write(b"abc" * 100)
+    record.close()
     rows = list(w.read_chunks(io.BytesIO(sink.getvalue())))
     assert b"".join(r[-2] for r in rows) == b"abc" * 9000
     try:
@@ -73,3 +76,21 @@ def test_a_cut_archive_is_an_error():
     except ValueError:
         return
     raise AssertionError
+
+
+def test_a_payload_that_is_not_what_the_header_says_is_an_error():
+    for digest, size, data in (("0" * 40, 3, b"abc"), (hashlib.sha1(b"ab").hexdigest(), 3, b"ab")):
+        record = w.Record(io.BytesIO(), "urn:x", "u", digest, size, None)
+        record.write(data)
+        try:
+            record.close()
+        except ValueError:
+            continue
+        raise AssertionError
+
+
+def test_the_writer_gets_chunks(spark):
+    """No row that reaches Python holds more than a chunk."""
+    rows = w.payload_chunks(w.pages_as_records(pages(spark, ROWS), w.shared_dir(spark))).collect()
+    assert max(len(r.data) for r in rows) == w.CHUNK_BYTES and sum(r.last for r in rows) == len(ROWS)
+    assert b"".join(bytes(r.data) for r in rows if r.record_id.startswith("urn:page:9:") and r.refers_to is None)[: 100] == ROWS[9][2].encode()[:100]

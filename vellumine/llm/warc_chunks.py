@@ -1,15 +1,17 @@
 """WARC archives as a chunked record table.
 
-``write_archives`` writes one WARC/1.1 record per page to gzip members in the shared folder, one archive per task.
-Of equal payloads of at least ``REVISIT_BYTES``, the page with the largest id is the response and the others are
+``write_archives`` writes one WARC/1.1 record per page to gzip members in the shared folder, one archive per task. Payloads
+reach it as rows of (record, chunk number, chunk) of at most ``CHUNK_BYTES``, which the JVM cuts out of the table's own value, and
+are compressed and digested as they come; a record whose digest isn't the one its header names fails. Of equal payloads of at least ``REVISIT_BYTES``, the page with the largest id is the response and the others are
 ``revisit`` records that name it and hold only the HTTP header.
 
 ``chunk_table`` reads archives as rows (record_id, chunk_no, offset, data, digest, ...): a payload is streamed in chunks
 of ``CHUNK_BYTES``, each with the SHA-1 of the payload up to its end, so the last chunk's digest is the payload's and
-no reader ever holds a whole record. Records without payload get one empty chunk. ``records`` folds the table
+neither writer nor reader holds a whole record. Records without payload get one empty chunk. ``records`` folds the table
 into one row per record.
 
-Archives are streamed through the file system that the shared folder's URI names.
+Archives are streamed through the file system that the shared folder's URI names. A payload that very many pages share is a
+hot key of the narrow join that finds revisits; one side has it once, and adaptive skew joins split the other.
 
 Defined cases: a null html is an empty payload; repeated rows are records of their own (those with the
 largest id are all responses); a null page id is never chosen as response while another id has the payload, and if all ids
@@ -65,23 +67,42 @@ def _one_line(text: str) -> str:
     return "".join(c if c.isprintable() else f"%{ord(c):02X}" for c in text)
 
 
-def write_record(sink, record_id: str, url: str, payload: bytes, digest: str, size: int, refers_to: str | None) -> None:
-    """One record; a revisit (``refers_to``) has the HTTP header of the full payload and no payload."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + f"Content-Length: {size}\r\n\r\n".encode()
-    body = 0 if refers_to else len(payload)
-    lines: list[tuple[str, object]] = [
-        ("WARC-Type", "revisit" if refers_to else "response"), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", DATE),
-        ("WARC-Target-URI", _one_line(url)), ("WARC-Payload-Digest", f"sha1:{digest}"),
-        ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(http) + body),
-    ]
-    if refers_to:
-        lines += [("WARC-Refers-To", f"<{refers_to}>"), ("WARC-Profile", PROFILE)]
-    m = _Member(sink)
-    m.write(_header(lines) + http)
-    for i in range(0, body, CHUNK_BYTES):
-        m.write(payload[i : i + CHUNK_BYTES])
-    m.write(_BREAK * 2)
-    m.close()
+class Record:
+    """One record, written as its payload comes; a revisit (``refers_to``) has the HTTP header of the full payload and no payload."""
+
+    def __init__(self, sink, record_id: str, url: str, digest: str, size: int, refers_to: str | None) -> None:
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + f"Content-Length: {size}\r\n\r\n".encode()
+        self.digest, self.left, self.sha = digest, 0 if refers_to else size, None if refers_to else hashlib.sha1(usedforsecurity=False)
+        lines: list[tuple[str, object]] = [
+            ("WARC-Type", "revisit" if refers_to else "response"), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", DATE),
+            ("WARC-Target-URI", _one_line(url)), ("WARC-Payload-Digest", f"sha1:{digest}"),
+            ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(http) + self.left),
+        ]
+        if refers_to:
+            lines += [("WARC-Refers-To", f"<{refers_to}>"), ("WARC-Profile", PROFILE)]
+        self.member = _Member(sink)
+        self.member.write(_header(lines) + http)
+
+    def write(self, chunk: bytes) -> None:
+        self.member.write(chunk)
+        self.left -= len(chunk)
+        if self.sha:
+            self.sha.update(chunk)
+
+    def close(self) -> None:
+        if self.left or (self.sha and self.sha.hexdigest() != self.digest):
+            raise ValueError("a payload isn't what its record's header says")
+        self.member.write(_BREAK * 2)
+        self.member.close()
+
+
+def payload_chunks(pages: DataFrame) -> DataFrame:
+    """``pages`` (record_id, url, html, digest, size, refers_to) as rows of chunks (chunk_no, last, data), each record's in order; no exchange."""
+    body = F.when(F.col("refers_to").isNull(), F.col("html").cast("binary")).otherwise(F.lit(b""))
+    n = F.greatest(F.ceil(F.octet_length("body") / CHUNK_BYTES), F.lit(1)).cast("int")
+    cut = pages.withColumn("body", body).withColumn("n", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    data = F.expr(f"substring(body, chunk_no * {CHUNK_BYTES} + 1, {CHUNK_BYTES})")
+    return cut.select("record_id", "url", "digest", "size", "refers_to", "chunk_no", (F.col("chunk_no") + 1 == F.col("n")).alias("last"), data.alias("data"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -98,18 +119,20 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         store, base = _open(folder)
         store.create_dir(base, recursive=True)
         name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.warc.gz"
-        n = 0
+        n, record = 0, None
         with store.open_output_stream(f"{base}/{name}", compression=None) as sink:
             for batch in batches:
-                for i in range(batch.num_rows):
-                    r = {k: batch.column(k)[i] for k in batch.schema.names}
-                    html = r["html"]
-                    payload = html.as_buffer() if html.is_valid else b""
-                    write_record(sink, r["record_id"].as_py(), r["url"].as_py() or "", memoryview(payload), r["digest"].as_py(), r["size"].as_py(), r["refers_to"].as_py())
-                    n += 1
+                heads = zip(*[batch.column(c).to_pylist() for c in ("record_id", "url", "digest", "size", "refers_to", "chunk_no", "last")], strict=True)
+                for (record_id, url, digest, size, refers_to, chunk_no, last), data in zip(heads, batch.column("data"), strict=True):
+                    if chunk_no == 0:
+                        record = Record(sink, record_id, url or "", digest, size, refers_to)
+                    record.write(memoryview(data.as_buffer()))
+                    if last:
+                        record.close()
+                        n += 1
         yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": [n]})
 
-    return pages.mapInArrow(write, "path string, n_records long")
+    return payload_chunks(pages).mapInArrow(write, "path string, n_records long")
 
 
 class _Inflated:
