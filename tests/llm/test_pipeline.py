@@ -60,6 +60,16 @@ def test_stages(spark, tmp_path):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
 
 
+def test_clashing_columns_and_repeats(spark, tmp_path):
+    rows = [(i, text(i), "en", f"s{i % 3}", 1, "own", 9) for i in range(40)] + [(3, text(3), "en", "s0", 1, "own", 9)] * 2
+    spark.createDataFrame([(1, text("item", 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(rows, SCHEMA + ", shard string, mix int").write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "mix", "_shard", "slot"]
+    got = [r.doc_id for r in out.collect()]
+    assert len(got) == len(set(got)) > 25 and {r.shard for r in out.collect()} == {"own"}
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")

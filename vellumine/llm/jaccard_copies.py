@@ -5,9 +5,16 @@ same set are one node. Two sets are linked if they share ``SIMILAR`` of their un
 
 Candidates share one of ``BANDS`` keys of ``ROWS`` minima each. A pair of similarity s is no candidate with probability
 (1 - s^5)^30: 7 in a million at 0.8, less above. In a bucket of at most ``BUCKET`` sets all pairs are counted. In a larger
-one its sets meet a few of its members, in rounds: one at first; then what isn't yet in the bucket's largest component meets the
-next ``ROUNDS`` tells; in the end what is still outside meets all the members of other components. So no pair of a bucket is
-left out, and the pairs of one large group of copies, which the first rounds connect, grow with its members.
+one every set X first meets one member, the centre C: that which shares most keys with other sets, so in a group of copies the text that
+the others were made of, or the nearest to it, and the same in all buckets of the group. What this links is one component. A set X
+outside it isn't similar to C, and then it is similar only to sets that differ from C in the same places: with the difference D(X)
+of X and C, X and Y differ in |D(X)| + |D(Y)| - 2 t shingles if t are in both differences. As they must differ in at most a fifth
+of their union, of at most |X u C| + |D(Y)| - t shingles, and |D(X)| > |X u C| / 5,
+
+    t >= |D(X)| - |X u C| / 5   and   t >= 0.8 |D(Y)| / 1.8.
+
+So X is joined with the Y of its bucket that share one of the rarest |D| - t + 1 shingles of both differences (prefix filtering, with
+the pair's own t = (|D(X)| - |X u C| / 5 + 0.8 |D(Y)|) / 1.8), and the pairs are counted like the others. No pair of a bucket is left out, and neither step grows with the square of a group.
 
 Defined cases: null and empty texts have the empty set and are copies of each other; ids and rows as in ``simhash_golay``.
 """
@@ -16,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +34,6 @@ SIZE = 5
 SIMILAR = 0.8
 ROWS, BANDS = 5, 30
 BUCKET = 16
-ROUNDS = (1, 6)  # centres of a large bucket that its open members meet in each round
 BROADCAST_ROWS = 1 << 21  # as many 64-bit row hashes are sent to all executors; more are joined by an exchange
 _CHUNK = 1 << 12
 _R = np.random.default_rng(42)
@@ -132,41 +138,41 @@ def links(sets: DataFrame, shingles, folder: str) -> DataFrame:
     pairs = a.join(b, (a.key == b.key) & (F.col("a") < F.col("b")) & _close("na", "nb")).select("a", "b")
     owns = written(sets.select("s", "own").join(members.select("s").distinct(), "s", "left_semi").select("own"), folder, "owns")
     candidates = written(shingles(owns), folder, "candidates")
-    open_, found, met = many, None, 0
-    for k, n in enumerate(ROUNDS):
-        pairs = _stars(open_, many, range(met, met + n)).union(pairs) if k == 0 else _stars(open_, many, range(met, met + n))
-        new = _verified(written(pairs.distinct(), folder, f"pairs-{k}"), candidates)
-        found, met = written(new if found is None else new.union(found).distinct(), folder, f"links-{k}"), met + n
-        named = written(_named(many, components(found, f"{folder}/{k}")), folder, f"named-{k}")
-        open_ = written(named.join(_main(named), "key"), folder, f"open-{k}")
-        members_, open_ = open_, open_.filter("root != main").select("key", "s", "n", "root")
-        if open_.isEmpty():
-            return found
-    a = open_.select("key", F.col("s").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    b = members_.select("key", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = a.join(b, (a.key == b.key) & (F.col("ra") != F.col("rb")) & _close("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.distinct(), folder, "rest")
-    return written(found.union(_verified(rest, candidates)).distinct(), folder, "links")
-
-
-def _stars(open_: DataFrame, many: DataFrame, seeds: range) -> DataFrame:
-    """Each open member (key, s, n) with its bucket's centres, the members of least hash under each seed."""
-    first = [F.min(F.struct(F.xxhash64("s", F.lit(c)).alias("o"), "s", "n")) for c in seeds]
-    centres = many.join(open_.select("key").distinct(), "key", "left_semi") if open_ is not many else many
-    centres = centres.groupBy("key").agg(F.array_distinct(F.array(*first)).alias("centres"))
-    centres = centres.select("key", F.explode("centres").alias("c")).select("key", F.col("c.s").alias("c"), F.col("c.n").alias("nc"))
-    return open_.join(centres, "key").filter((F.col("s") != F.col("c")) & _close("n", "nc")).select(F.least("s", "c").alias("a"), F.greatest("s", "c").alias("b"))
-
-
-def _named(many: DataFrame, comp: DataFrame) -> DataFrame:
-    """The members of large buckets with their component."""
-    return many.join(comp.withColumnRenamed("node", "s"), "s", "left").select("key", "s", "n", F.coalesce("root", "s").alias("root"))
-
-
-def _main(named: DataFrame) -> DataFrame:
-    """The largest component of each bucket that has several."""
-    sizes = named.groupBy("key", "root").agg(F.count("*").alias("m"))
-    return sizes.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("key", "main")
+    shares = members.groupBy("s").agg(F.sum("m").alias("o"))
+    centres = written(_central(many.join(shares, "s")), folder, "centres")
+    met = many.join(centres, "key")
+    stars = met.filter((F.col("s") != F.col("c")) & _close("n", "nc")).select(F.least("s", "c").alias("a"), F.greatest("s", "c").alias("b"))
+    found = written(_verified(written(pairs.union(stars).distinct(), folder, "pairs"), candidates), folder, "links-1")
+    comp = components(found, folder)
+    root = lambda n: comp.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
+    around = met.select("c", "s").distinct().join(root("s"), "s", "left").join(root("c"), "c", "left")
+    around = written(around.select("c", "s", F.coalesce("root_s", "s").alias("root"), (F.coalesce("root_s", "s") != F.coalesce("root_c", "c")).alias("outside")), folder, "around")
+    rest = written(_differing_alike(around, candidates, folder), folder, "rest")
+    return written(found.union(_verified(rest, candidates)).distinct(), folder, "links-2")
+
+
+def _central(many: DataFrame) -> DataFrame:
+    """The member of each bucket (key, s, n) that shares most, by ``o``: (key, c, nc)."""
+    return many.groupBy("key").agg(F.max(F.struct("o", "s", "n")).alias("x")).select("key", F.col("x.s").alias("c"), F.col("x.n").alias("nc"))
+
+
+def _differing_alike(around: DataFrame, candidates: DataFrame, folder: str) -> DataFrame:
+    """Pairs (a, b) of the sets around a centre (c, s, root, outside) that can be similar: one of them outside the centre's component."""
+    rows = around.join(around.filter("outside").select("c").distinct(), "c", "left_semi")
+    own, middle = candidates.select("s", "shingles"), candidates.select(F.col("s").alias("c"), F.col("n").alias("nc"), F.col("shingles").alias("middle"))
+    more = F.array_except("shingles", "middle")
+    d = rows.join(own, "s").join(middle, "c").select("c", "s", "root", "outside", (F.col("nc") + F.size(more)).alias("u"), F.concat(more, F.array_except("middle", "shingles")).alias("d"))
+    each = written(d.select("c", "s", "root", "outside", "u", F.size("d").alias("size"), F.explode("d").alias("x")), folder, "differences")
+    often = each.groupBy("c", "x").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("c", "s").orderBy("often", "x"))
+    placed = each.join(often.filter("often > 1"), ["c", "x"], "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("place", place).filter("often > 1")
+    prefix = lambda t: F.col("place") <= F.col("size") - F.greatest(F.ceil(t - 1e-9), F.lit(1)) + 1
+    placed = written(placed, folder, "placed")
+    x = placed.filter("outside").filter(prefix(F.col("size") - (1 - SIMILAR) * F.col("u"))).select("c", "x", F.col("s").alias("a"), F.col("root").alias("ra"), F.col("place").alias("pa"), F.col("size").alias("na"), "u")
+    y = placed.filter(prefix(SIMILAR / (1 + SIMILAR) * F.col("size"))).select("c", "x", F.col("s").alias("b"), F.col("root").alias("rb"), F.col("place").alias("pb"), F.col("size").alias("nb"))
+    t = (F.col("na") - (1 - SIMILAR) * F.col("u") + SIMILAR * F.col("nb")) / (1 + SIMILAR) - 1 - 1e-9  # the first shared one has so many behind it
+    ok = (x.c == y.c) & (x.x == y.x) & (F.col("ra") != F.col("rb")) & (F.col("na") - F.col("pa") >= t) & (F.col("nb") - F.col("pb") >= t)
+    return x.join(y, ok).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def grouped(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
