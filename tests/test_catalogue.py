@@ -11,7 +11,7 @@ from vellumine.plans import catalogue as Q
 SF = "/root/testdata/sf0.001"
 FAST = (
     "references", "amendments", "doc_relations", "graph_edges", "anchor_clauses", "bm25_topk", "term_df_idf", "knn_filtered_by_label", "rrf_weighted", "rrf_trace", "rerank_threshold_topk",
-    "context_pack_dedupe", "compact_context", "verify_answers", "registry_error_upsert", "file_registry_lookup", "text_functions", "event_counts",
+    "context_pack_dedupe", "compact_context", "verify_answers", "registry_error_upsert", "file_registry_lookup", "text_functions", "event_counts", "normalize_headings", "resolve_targets", "external_scopes", "audit", "strip_preamble", "dedupe_exact_content", "dedupe_keep_best", "knn_index_recall",
 )
 
 
