@@ -65,6 +65,24 @@ def test_large_groups_whose_copies_differ(spark, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, df, str(tmp_path)).collect()) == want
 
 
+def test_the_sets_of_a_large_group_meet_one_centre(spark, monkeypatch):
+    """Their differences are spread out once and not once for each centre of their buckets."""
+    rng = random.Random(3)
+    base = [f"g{i}" for i in range(120)]
+    rows = [" ".join(base), *[edited(rng, base, rng.randint(1, 5)) for _ in range(400)]]
+    tables, write = {}, j.written
+
+    def kept(df, folder, name):
+        tables[name] = write(df, folder, name)
+        return tables[name]
+
+    monkeypatch.setattr(j, "written", kept)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(rows)], SCHEMA)
+    got = sorted(r.doc_id for r in j.representatives(df).collect())
+    assert tables["around"].count() <= 1.2 * tables["around"].select("s").distinct().count()
+    assert got == least(rows)
+
+
 def test_repeated_rows_and_clashing_columns(spark):
     rows = [(7, "one two three four five six", "k"), (7, "one two three four five six", "k"), (None, "other words here", None), (None, "other words here", None), (8, "ONE two three four five six", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept_id string")
