@@ -2,8 +2,8 @@
 
 1. quality: documents that the production policy of the rule ledger rejects go (empty and null texts among them).
 2. near_copies: of each component of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more one
-   document stays, that of the smallest id. Fingerprints within 2 bits, as operator 10's contract has them, miss most of these, so
-   this stage searches with MinHash bands and links by the exact similarity; components and the choice of the row are operator 10's.
+   document stays, that of the smallest id. Candidates come from operator 10's fingerprints and Golay keys, over five words; these miss
+   most pairs near 0.8, so MinHash bands search for the others. All links are exact; components and the choice of the row are operator 10's.
 3. decontamination: documents that contain an item of ``benchmark`` within the edit budget go.
 4. mixing: documents are sampled with the calibrated probabilities of their source, language and learned topic.
 5. shards: every document gets one of 40 shards of near equal bytes and a slot in it.

@@ -1,7 +1,10 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from vellumine.llm import jaccard_copies as j
+from vellumine.llm.simhash_golay import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -83,6 +86,27 @@ def test_the_sets_of_a_large_group_meet_one_centre(spark, monkeypatch):
     assert got == least(rows)
 
 
+def test_fingerprints_link_what_is_within_two_bits(spark, tmp_path):
+    """Golay keys alone, without any MinHash key."""
+    j.prepare(spark)
+    rng = random.Random(12)
+    rows = [None, "one two"]
+    for k in range(30):
+        words = [f"p{k}x{i}" for i in range(500)]
+        rows += [" ".join(words), edited(rng, words, 1), edited(rng, words, 2)]
+    sets = j.shingle_sets(rows)
+    prints = [int(x) for x in j.fingerprints(sets)]
+    assert prints == [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s)) for s in sets]
+    want = {(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2 and similar(rows[a], rows[b])}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "own long, text string").select("own", j.sets_udf("text").alias("x"))
+    df = df.select("own", "x.s", "x.n", "x.fp", "x.shingles").localCheckpoint()
+    bare = df.select("s", "n", "fp", "own", F.array().cast("array<bigint>").alias("keys"))
+    links = j.links(bare, lambda owns: df.join(owns, "own").select("s", "n", "shingles"), str(tmp_path / "l"))
+    root = {r.node: r.root for r in components(links, str(tmp_path / "c")).collect()}
+    name = {r.own: root.get(r.s, r.s) for r in df.collect()}
+    assert len(want) > 10 and all(name[a] == name[b] for a, b in want)
+
+
 def test_repeated_rows_and_clashing_columns(spark):
     rows = [(7, "one two three four five six", "k"), (7, "one two three four five six", "k"), (None, "other words here", None), (None, "other words here", None), (8, "ONE two three four five six", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept_id string")
