@@ -125,6 +125,44 @@ def test_bm25_pruning_changes_nothing(spark, tmp_path):
     posts.unpersist(), terms.unpersist()
 
 
+def test_bm25_in_blocks(spark, tmp_path, monkeypatch):
+    """Bags have the postings' rows; several blocks, matrices and lists give the joined plan's rows; copies tie by id."""
+    rng = random.Random(5)
+    words, weights = [f"w{i}" for i in range(400)], [1 / (i + 1) for i in range(400)]
+    docs = [(f"c{i:04}", " ".join(rng.choices(words, weights, k=rng.randrange(0, 60)))) for i in range(1500)] + [(f"x{i}", "w1 w9 w9 w44") for i in range(60)] + [("y", None)]
+    df = spark.createDataFrame(docs, "chunk_id string, content string").repartition(3)
+    bags, posts, stats = R.bags(df).cache(), R.postings(df).cache(), R.corpus_stats(df)
+    each = bags.select("chunk_id", "length", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf")))).select(posts.columns)
+    assert sorted(each.collect()) == sorted(posts.collect())
+    terms = R.term_stats(bags, stats).cache()
+    assert {(r["term"], r["df"]) for r in terms.collect()} == {(r["term"], r["df"]) for r in R.term_counts(df).collect()}
+    asked = df.filter("chunk_id LIKE 'c%0' OR chunk_id = 'x7'").select(F.col("chunk_id").alias("query_id"), F.col("content").alias("text"))
+    key = lambda rows: sorted((r["query_id"], r["original_rank"], r["chunk_id"], round(r["raw_score"], 8)) for r in rows.collect())
+    want = key(R.bm25(asked, posts, terms, stats, 5))
+    assert [x[2] for x in want if x[0] == "x7"] == ["x0", "x1", "x10", "x11", "x12"]
+    monkeypatch.setattr(R, "SPARSE_BLOCK", 70)
+    monkeypatch.setattr(R, "ROWS", 100)
+    for dense, spread in ((1024, 10**6), (3, 200), (0, 10**6)):
+        monkeypatch.setattr(R, "DENSE_TERMS", dense)
+        monkeypatch.setattr(R, "SPREAD", spread)
+        assert key(R.bm25(asked, bags, terms, stats, 5, folder=str(tmp_path / f"{dense}"))) == want
+    assert R.bm25(asked.filter("false"), bags, terms, stats, 5, folder=str(tmp_path / "none")).count() == 0
+    [x.unpersist() for x in (bags, posts, terms)]
+
+
+def test_best_keeps_few_of_many_copies():
+    """Equal scores don't pile up: the least ids stay."""
+    import numpy as np
+    import pyarrow as pa
+
+    best = R.Best(2, 3)
+    for a in range(0, 1000, 100):
+        best.show(np.full((100, 2), [5.0, 0.0]), pa.array([f"{999 - a - i:03}" for i in range(100)]))
+        best.show(np.array([[1.0, 7.0 - a / 1000]]), pa.array([f"z{a:03}"]))
+    rows = best.rows(pa.array([10, 20]), pa.schema([("query_id", pa.int64()), ("chunk_id", pa.string()), ("raw_score", pa.float64())])).to_pylist()
+    assert [tuple(r.values()) for r in rows] == [(10, "000", 5.0), (10, "001", 5.0), (10, "002", 5.0), (20, "z000", 7.0), (20, "z100", 6.9), (20, "z200", 6.8)]
+
+
 def test_scoped_search(spark):
     """Chunks of a scope's document by number; else by a name that the title holds, of any length."""
     chunks = [(i, [float(i)], n, t) for i, (n, t) in enumerate([("1/2020/X", "Luật Một"), ("1/2020/x ", "Luật Một"), ("", "Bộ luật Lao động sửa đổi"), ("", "Luật Đất đai 2013"), (None, None), ("", "ab")])]
