@@ -185,6 +185,32 @@ def test_bm25_by_hand(spark):
     assert len(got) == 1 and got[0]["chunk_id"] == "x" and abs(got[0]["raw_score"] - want) < 1e-9
 
 
+def test_documents_of_one_number(spark):
+    """Own references stay in their document, others go to the first one; a question about a document means that one."""
+    text = "Điều 1. Một\n1. Theo khoản 1 Điều 2.\n2. Hai.\nĐiều 2. Hai\n1. Áp dụng Điều 1 Nghị định số 7/2020/NĐ-CP."
+    rows = [(i, text, n, f"Văn bản {i}") for i, n in (("9", "7/2020/NĐ-CP"), ("10", "7/2020/NĐ-CP"), ("11", "8/2020/NĐ-CP"))]
+    docs = C.parsed(spark.createDataFrame(rows, "document_id string, content string, doc_number string, title string")).cache()
+    links = {(r["src"], r["dst"]) for r in G.edges(K.references(docs), K.amendments(docs), K.relations(docs), docs).collect()}
+    assert links == {(f"{i}:a1:c1", f"{i}:a2:c1") for i in (9, 10, 11)} | {(f"{i}:a2:c1", "9:a1") for i in (9, 10, 11)}
+    asked = spark.createDataFrame([(1, "khoản 1 Điều 1 Nghị định 7/2020/NĐ-CP"), (2, "Nghị định 7/2020/NĐ-CP"), (3, "khoản 1 Điều 2 Nghị định 8/2020/NĐ-CP")], "query_id int, text string")
+    anchors, units = A.query_anchors(asked), G.unit_nodes(docs)
+    assert {r["unit_id"] for r in G.anchor_clauses(anchors, units).filter("query_id = 1").collect()} <= {"9:a1:c1", "10:a1:c1"}
+    about = anchors.withColumn("about", F.lit("10"))
+    assert sorted((r["query_id"], r["unit_id"]) for r in G.anchor_clauses(about, units).collect()) == [(1, "10:a1:c1"), (3, "11:a2:c1")]
+    assert [(r["query_id"], r["title_hint"]) for r in G.anchor_scopes(about, units).collect()] == [(2, "Văn bản 10")]
+    docs.unpersist()
+
+
+def test_label_metrics(spark):
+    """The same as with all relevant pairs, without making them."""
+    items = spark.createDataFrame([(i, None if i % 7 == 0 else f"l{i % 3}") for i in range(40)], "item int, label string")
+    asked = spark.createDataFrame([(q, None if q == 4 else f"l{q % 4}") for q in range(6)], "query_id int, label string")
+    ranked = spark.createDataFrame([(q, (q * 5 + r * 3) % 40, r) for q in range(6) for r in range(1, 13)], "query_id int, item int, rank int")
+    got = E.label_metrics(ranked, asked, items, 10)
+    assert sorted(got.collect()) == sorted(E.ranking_metrics(ranked, asked.join(items, "label").select("query_id", "item"), 10).collect())
+    assert got.count() == 4
+
+
 def laws(spark):
     a = "Chương I\nCHUNG\nĐiều 1. Phạm vi\n1. Theo khoản 2 Điều 2.\n2. Áp dụng Điều 1 Nghị định số 2/2020/NĐ-CP.\nĐiều 2. Khác\n1. Theo Luật Đất đai.\n2. Theo Điều 8 của Nghị định này.\nĐiều 3. Sửa đổi Nghị định số 2/2020/NĐ-CP\n1. Bổ sung khoản 3 vào Điều 1\n“3. mới”\n"
     b = "Căn cứ Luật số 1/2019/QH14;\nHướng dẫn thi hành Luật số 9/2009/QH12\nĐiều 1. Một\n1. Nội dung lao động.\n10. Mười.\n2. Hai."
