@@ -50,7 +50,21 @@ def means(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """(query_id, n_relevant, n_hits, recall, reciprocal_rank) at ``k``; ranked has (query_id, item, rank), relevant (query_id, item)."""
     total = relevant.distinct().groupBy("query_id").agg(F.count("*").alias("n_relevant"))
-    hits = ranked.filter(F.col("rank") <= k).join(relevant.distinct(), ["query_id", "item"]).groupBy("query_id").agg(F.countDistinct("item").alias("n_hits"), F.min("rank").alias("first"))
+    return _metrics(total, ranked.filter(F.col("rank") <= k).join(relevant.distinct(), ["query_id", "item"]))
+
+
+def label_metrics(ranked: DataFrame, asked: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """``ranking_metrics`` where all ``items`` (item, label; an item has one) of the label of a question (query_id, label) are
+    relevant: counted by label, so that no pair of a question and an item is made but the ranked ones."""
+    asked, items = asked.filter("label IS NOT NULL").distinct(), items.filter("label IS NOT NULL").distinct()
+    sizes = items.groupBy("label").agg(F.count("*").alias("n"))
+    total = asked.join(sizes, "label").groupBy("query_id").agg(F.sum("n").alias("n_relevant"))
+    return _metrics(total, ranked.filter(F.col("rank") <= k).join(items, "item").join(asked, ["query_id", "label"]))
+
+
+def _metrics(total: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the relevant items' numbers and those found (query_id, item, rank)."""
+    hits = found.groupBy("query_id").agg(F.countDistinct("item").alias("n_hits"), F.min("rank").alias("first"))
     out = total.join(hits, "query_id", "left")
     n = F.coalesce("n_hits", F.lit(0)).cast("long")
     return out.select("query_id", "n_relevant", n.alias("n_hits"), (n / F.col("n_relevant")).alias("recall"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))
