@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -35,18 +36,22 @@ CLAUSE = T.StructType(
     + [T.StructField("contains_quoted_replacement", T.BooleanType())]
     + [T.StructField(n, T.StringType()) for n in ("target_document_number_hint", "target_title_hint", "unit_source")]
 )
-STRUCTURE = T.StructType([T.StructField("articles", T.ArrayType(ARTICLE)), T.StructField("clauses", T.ArrayType(CLAUSE))])
+
+
+ROWS = 64  # of a batch that are Python values at a time
+PARTS = 256  # rows that Python takes in and gives out at a time where results are long
 
 
 def arrow(kind: T.DataType):
-    """Decorator: a function of one row's Python values as an Arrow scalar function."""
+    """Decorator: a function of one row's Python values as an Arrow scalar function; few rows at a time are Python values."""
     inner = T_to_arrow(kind)
 
     def wrap(f):
         names = f.__code__.co_varnames[: f.__code__.co_argcount]
 
         def run(*columns: pa.Array) -> pa.Array:
-            return pa.array([f(*row) for row in zip(*[c.to_pylist() for c in columns], strict=True)], inner)
+            parts = [pa.array([f(*row) for row in zip(*[c.slice(i, ROWS).to_pylist() for c in columns], strict=True)], inner) for i in range(0, len(columns[0]), ROWS)]
+            return pa.concat_arrays(parts) if parts else pa.array([], inner)
 
         source = f"def call({', '.join(names)}): return run({', '.join(names)})"
         space = {"run": run}
@@ -57,6 +62,23 @@ def arrow(kind: T.DataType):
     return wrap
 
 
+def with_parts(rows: DataFrame, given: dict[str, T.DataType], inputs: tuple[str, ...], f: Callable[..., tuple]) -> DataFrame:
+    """``rows`` with the columns ``given``, which ``f`` makes of the values of ``inputs``. Python passes them on ``PARTS`` rows at a
+    time, so that it never holds the results of a whole batch."""
+    rows = rows.drop(*given)
+    kinds = {n: T_to_arrow(k) for n, k in given.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, PARTS):
+                part = b.slice(i, PARTS)
+                made = [f(*row) for row in zip(*[part.column(c).to_pylist() for c in inputs], strict=True)]
+                more = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds.values())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *kinds])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(n, k) for n, k in given.items())]))
+
+
 def T_to_arrow(kind: T.DataType) -> pa.DataType:
     """The Arrow type of a Spark type, for the few types used here."""
     if isinstance(kind, T.StructType):
@@ -272,8 +294,6 @@ def by_headers(text: str | None, size: int = P.CHUNK_SIZE, overlap: int = P.CHUN
     return out
 
 
-normalize_headings = arrow(T.StringType())(lambda text: normalize(text))
-parse_structure = arrow(STRUCTURE)(lambda text, document_id, number, title, path: structure(text or "", document_id or "", number or "", title or "", path or ""))
 SECTION = T.StructType([T.StructField(n, T.StringType()) for n in ("Chuong", "Muc", "Dieu", "Khoan", "content")])
 
 
@@ -298,9 +318,15 @@ def parsed(documents: DataFrame) -> DataFrame:
     have = set(documents.columns)
     documents = documents.select(*documents.columns, *[F.lit("").alias(k) for k in P.DOCUMENT_KEYS if k not in have])
     number = X.doc_number(F.col("doc_number"))
-    out = documents.withColumn("document_id", document_key()).withColumn("doc_number", number).withColumn("normalized", normalize_headings("content"))
-    units = parse_structure("normalized", "document_id", "doc_number", "title", "markdown_path")
-    return out.withColumn("structure", units).select(*out.columns, "structure.articles", "structure.clauses")
+    out = documents.withColumn("document_id", document_key()).withColumn("doc_number", number)
+
+    def parse(content: str | None, *own: str | None) -> tuple:
+        text = normalize(content)
+        units = structure(text, *(x or "" for x in own))
+        return text, units["articles"], units["clauses"]
+
+    kinds = {"normalized": T.StringType(), "articles": T.ArrayType(ARTICLE), "clauses": T.ArrayType(CLAUSE)}
+    return with_parts(out, kinds, ("content", "document_id", "doc_number", "title", "markdown_path"), parse)
 
 
 def articles(documents: DataFrame) -> DataFrame:
@@ -324,7 +350,9 @@ def chunks(documents: DataFrame, size: int = P.CHUNK_SIZE, overlap: int = P.CHUN
     base = documents.select(*meta, "clauses", "normalized", has_header.alias("has_header"), (F.size("clauses") > 0).alias("has_units"))
     units = base.filter("has_header AND has_units").select(*meta, F.posexplode(unit).alias("unit_pos", "u"))
     names = [f for f in ("clause_id", "article_no", "clause_no", "unit_type", "structural_path", "source_start_line", "source_end_line", "contains_quoted_replacement", "target_document_number_hint")]
-    units = units.withColumn("parts", split_text("u.text", size, overlap)).withColumn("parts", F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array("u.text")))
+    short = F.length("u.text") < size  # one piece as it stands: the parser leaves no blanks around a unit's text
+    long = units.filter(~short).withColumn("parts", split_text("u.text", size, overlap)).withColumn("parts", F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array("u.text")))
+    units = units.filter(short).withColumn("parts", F.array("u.text")).unionByName(long)
     units = units.select(*meta, "unit_pos", *[F.col(f"u.{n}").alias(n) for n in names], F.posexplode("parts").alias("chunk_part", "content"))
     none = {"source_start_line": "int", "source_end_line": "int", "contains_quoted_replacement": "boolean"}
     empty = [F.lit(None if n in none else "").cast(none.get(n, "string")).alias(n) for n in names]
